@@ -54,7 +54,7 @@ BINDINGS = {
         FROM part""",
     "b_calls": """
         SELECT DISTINCT a.l_partkey AS caller_id, p.p_name AS called_name
-        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN a.l_linenumber + 1 AND a.l_linenumber + 2
         JOIN part p ON p.p_partkey = b.l_partkey""",
     "b_imports": """
         SELECT DISTINCT concat(pa.p_brand, '/', pa.p_type, '/m', CAST(floor(pa.p_partkey / 50) AS BIGINT), '.py') AS file_path,
