@@ -81,6 +81,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
+def squeeze_ends(text: Column) -> Column:
+    """No white space at either end."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 @F.pandas_udf(T.StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """Named and numeric character references to characters (Arrow batches)."""

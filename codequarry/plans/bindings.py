@@ -139,4 +139,27 @@ BINDINGS = {
                CASE event_type WHEN 'signup' THEN 'initialized' WHEN 'view' THEN 'sites_found' WHEN 'click' THEN 'urls_extracted'
                     WHEN 'purchase' THEN 'approved' ELSE 'error' END AS status
         FROM events""",
+    "b_questions": """
+        SELECT event_id AS query_id, concat(event_type, CASE WHEN value > 50 THEN ' with login' ELSE '' END) AS text, value
+        FROM events""",
+    "b_sites": """
+        SELECT c_custkey AS site_id, c_name AS title,
+               concat('https://', lower(c_mktsegment), '.example/', CASE WHEN c_nationkey < 15 THEN 'docs' WHEN c_nationkey < 20 THEN 'guide' ELSE 'home' END) AS url,
+               CASE WHEN c_acctbal < 1000 THEN 'timeout' WHEN c_acctbal < 2000 THEN 'error' ELSE 'completed' END AS status
+        FROM customer""",
+    "b_links": """
+        SELECT o_custkey AS site_id, o_orderkey AS link_no, concat('https://shop.example/', lower(o_orderstatus), '/the-', o_orderkey, '_page/') AS link
+        FROM orders""",
+    "b_responses": """
+        SELECT event_id, CASE event_type WHEN 'click' THEN props
+                 WHEN 'view' THEN concat('Result:', chr(10), '```json', chr(10), replace(props, '}', ',}'), chr(10), '```')
+                 WHEN 'signup' THEN concat('```', chr(10), props, chr(10), '```')
+                 WHEN 'purchase' THEN concat('so ', props, ' it is ', props)
+                 ELSE concat('{', props) END AS response
+        FROM events""",
+    "b_reports": """
+        SELECT conv_id * 1000 + turn AS report_id,
+               concat('- too early', chr(10), 'Key Findings', chr(10), '- ', replace(text, chr(10), concat(chr(10), '* ')), chr(10), chr(10),
+                      CASE role WHEN 'user' THEN 'We suggest:' ELSE 'Overall architecture' END, chr(10), '1. first ', role, chr(10), '  2. second', chr(10), 'plain') AS response
+        FROM conversations""",
 }

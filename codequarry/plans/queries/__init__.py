@@ -1,3 +1,3 @@
 """Registered queries by area; importing this package fills the registry."""
 
-from codequarry.plans.queries import code_graph, extraction, storage  # noqa: F401
+from codequarry.plans.queries import code_graph, extraction, search, storage, web  # noqa: F401
