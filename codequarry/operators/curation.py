@@ -173,7 +173,7 @@ def parse_responses(raw: DataFrame, column: str = "response", schema: str | None
 
     def first(pattern: str) -> Column:
         found = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))
-        return F.element_at(F.array_compact(F.transform(found, lambda c: _valid(without_trailing_commas(c)))), 1)
+        return F.get(F.array_compact(F.transform(found, lambda c: _valid(without_trailing_commas(c)))), F.lit(0))
 
     method, parsed = F.lit("text"), F.lit(None).cast("string")
     for name, value in [

@@ -37,9 +37,8 @@ class Inputs:
         """Run SQL in which ``{name}`` stands for a bound view."""
         text = expand(text)
         frames = {t: getattr(self, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
-        return self.spark.sql(
-            re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b", r"\1 {\2}", text), **frames
-        )
+        literal = text.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b", r"\1 {\2}", literal), **frames)
 
 
 def expand(text: str) -> str:

@@ -1,0 +1,41 @@
+"""Tables written by micro-batches: every batch owns one folder and may be written again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codequarry.functions.ranking import first_per_key
+
+
+def batch_path(root: str, batch: int) -> str:
+    return f"{root}/batch={batch}"
+
+
+def write_batch(df: DataFrame, root: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(batch_path(root, batch))
+
+
+def read_batch(spark: SparkSession, root: str, batch: int, schema) -> DataFrame:
+    """What a batch wrote; an empty table for the time before the first."""
+    if batch < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_path(root, batch))
+
+
+def read_all(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root)
+
+
+def latest_rows(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key, for updates written batch by batch."""
+    rows = read_all(spark, root)
+    return first_per_key(rows, keys, ["batch"], last=True).drop("batch")
+
+
+def run_available(stream, write, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over what is there now, handing every batch to ``write(df, batch)``."""
+    running = (
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
