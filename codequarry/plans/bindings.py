@@ -16,7 +16,7 @@ BINDINGS = {
                concat('src/', lower(o_orderstatus), '/n', o_custkey % 40, '/mod_', o_orderkey, '.py') AS path,
                concat(
                  'import os, sys as system', chr(10),
-                 'from pkg', o_custkey % 9, '.core import load_', o_custkey % 50, ', Base', o_custkey % 11, ' as Parent', chr(10),
+                 'from n', (o_custkey + 1) % 40, ' import load_', (o_custkey + 1) % 50, ', Base', o_custkey % 11, ' as Parent', chr(10),
                  chr(10),
                  'class Order', o_orderkey, '(Base', o_custkey % 11, ', mixins.Log):', chr(10),
                  '    "Order of customer ', o_custkey, '"', chr(10),
@@ -27,14 +27,14 @@ BINDINGS = {
                  '        ', chr(39), chr(39), chr(39), 'Price with tax', chr(10),
                  '        and discount', chr(39), chr(39), chr(39), chr(10),
                  '        if qty and tax or self.total :', chr(10),
-                 '            return load_', o_custkey % 50, '(qty) + round (tax)', chr(10),
+                 '            return load_', (o_custkey + 1) % 50, '(qty) + round (tax)', chr(10),
                  '        for step in range(3):', chr(10),
                  '            await self.note(step)', chr(10),
                  '        return price_', o_custkey % 50, '(0, 0)', chr(10),
                  chr(10),
                  'def load_', o_custkey % 50, '(path, limit=', o_orderkey % 100, ') -> int:', chr(10),
                  '    while limit :', chr(10),
-                 '        limit = step(limit)', chr(10),
+                 '        limit = step(limit) or load_', (o_custkey + 2) % 50, '(path)', chr(10),
                  chr(10),
                  '    def inner(x):', chr(10),
                  '        return x if x else None', chr(10),

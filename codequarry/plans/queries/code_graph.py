@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.operators import edges, graph
+from codequarry.operators import edges, extract, graph
+from codequarry.plans import catalogue
+from codequarry.plans.queries.extraction import CODE, _complexity_sql
 from codequarry.plans.registry import Inputs, query
 
 # ---------------------------------------------------------------- inputs
@@ -540,3 +542,53 @@ def path_vocabulary(t: Inputs):
 def schema_digest(t: Inputs):
     nodes, links = _graph(t)
     return graph.schema_digest(_profiles(t), graph.edge_patterns(links, nodes), graph.sample_entities(_named_nodes(t)))
+
+
+# ---------------------------------------------------------------- from source text to answers
+
+SOURCE_CALLS = CODE + r""",
+    called AS (SELECT DISTINCT idx, path, ln, name, c FROM (SELECT idx, path, ln, name, unnest(regexp_extract_all(body, '(\w+)\s*\(', 1)) AS c FROM funcs) WHERE c <> name),
+    cls AS (SELECT idx, ln AS lo, stop AS hi FROM spans WHERE head LIKE 'class %'),
+    home AS (SELECT f.idx, f.ln, f.name, c.lo AS class_ln FROM funcs f JOIN cls c ON c.idx = f.idx AND f.ln BETWEEN c.lo AND c.hi WHERE contains(f.params, 'self')),
+    imp AS (SELECT idx, regexp_extract(content, 'from (n\d+) import', 1) AS module, regexp_extract(content, 'import (load_\d+),', 1) AS item FROM {b_source}),
+    n_mod AS (SELECT m.module, f.name, count(*) AS n FROM (SELECT DISTINCT module FROM imp) m JOIN funcs f ON contains(f.path, m.module) GROUP BY ALL),
+    n_all AS (SELECT name, count(*) AS n FROM funcs GROUP BY name),
+    near AS (
+      SELECT k.idx, k.ln, k.c, 'CALLS_LOCAL' AS type, count(*) AS n FROM called k JOIN funcs f ON f.idx = k.idx AND f.name = k.c GROUP BY k.idx, k.ln, k.c
+      UNION ALL SELECT k.idx, k.ln, k.c, 'CALLS_IMPORTED', m.n FROM called k JOIN imp i ON i.idx = k.idx AND i.item = k.c JOIN n_mod m ON m.module = i.module AND m.name = k.c
+      UNION ALL SELECT k.idx, k.ln, k.c, 'CALLS_METHOD', count(*) FROM called k JOIN home h ON h.idx = k.idx AND h.ln = k.ln JOIN home b ON b.idx = k.idx AND b.class_ln = h.class_ln AND b.name = k.c GROUP BY k.idx, k.ln, k.c),
+    far AS (SELECT k.idx, k.ln, k.c, 'CALLS_GLOBAL' AS type, a.n FROM called k JOIN n_all a ON a.name = k.c
+            WHERE NOT EXISTS (SELECT 1 FROM near x WHERE x.idx = k.idx AND x.ln = k.ln AND x.c = k.c))
+"""
+
+
+@query("source_call_statistics", f"WITH {SOURCE_CALLS} SELECT type, CAST(sum(n) AS BIGINT) AS edges FROM (SELECT * FROM near UNION ALL SELECT * FROM far) GROUP BY type")
+def source_call_statistics(t: Inputs):
+    g = catalogue.build_code_graph(t.b_source.select("path", "content"))
+    return catalogue.run(g, "resolved_call_statistics")
+
+
+@query(
+    "source_code_metrics",
+    f"""WITH {CODE} SELECT count(*) AS total_functions, round(avg({_complexity_sql('body')}), 2) AS avg_complexity, CAST(max({_complexity_sql('body')}) AS BIGINT) AS max_complexity,
+        (SELECT count(*) FROM spans WHERE head LIKE 'class %') AS total_classes, (SELECT count(*) FROM {{b_source}}) AS total_files FROM funcs""",
+)
+def source_code_metrics(t: Inputs):
+    files = t.b_source.select("path", "content")
+    entities = extract.extract_functions(files).withColumn("purpose", F.lit(None).cast("string")).withColumn("domain", F.lit(None).cast("string"))
+    metrics = graph.code_metrics(entities, extract.extract_classes(files), files)
+    return metrics.select("total_functions", "avg_complexity", F.col("max_complexity").cast("bigint"), "total_classes", "total_files")
+
+
+@query(
+    "source_memberships",
+    f"""WITH {SOURCE_CALLS} SELECT idx, name, CAST(ln AS BIGINT) AS line_start, CAST(class_ln AS BIGINT) AS class_line FROM home""",
+)
+def source_memberships(t: Inputs):
+    files = t.b_source.select("idx", "path", "content")
+    functions = extract.extract_functions(files).where("is_method").select("idx", "id", "name", F.col("file_path").alias("file_id"), "line_start")
+    classes = extract.extract_classes(files).select("id", F.col("file_path").alias("file_id"), F.col("line_start").alias("lo"), F.col("line_end").alias("hi"))
+    held = edges.belongs_to(functions.withColumnRenamed("line_start", "line"), classes, ["lo", "id"])
+    named = functions.join(held.select(F.col("src").alias("id"), F.col("dst").alias("class_id")), "id")
+    line = classes.select(F.col("id").alias("class_id"), F.col("lo").cast("bigint").alias("class_line"))
+    return named.join(line, "class_id").select("idx", "name", F.col("line_start").cast("bigint"), "class_line")

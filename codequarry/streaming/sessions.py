@@ -125,17 +125,16 @@ def upsert_sessions(events: DataFrame, start: DataFrame, root: str | None = None
     spark = events.sparkSession
     root = root or scratch_path(spark, "sessions")
     table, schema = f"{root}/table", start.select("session_id", "title").schema
-    done: list[int] = []
 
     def write(df: DataFrame, batch: int) -> None:
         known = sinks.read_batch(df.sparkSession, table, batch - 1, schema) if batch else start.select("session_id", "title")
         fresh = df.select("session_id", F.lit(sessions.NEW_TITLE).alias("title"), F.lit(0).alias("at")).distinct()
         fresh = fresh.join(known.select("session_id"), "session_id", "left_anti")
         sinks.write_batch(upsert(known, fresh, ["session_id"], ["at"]), table, batch)
-        done.append(batch)
 
     sinks.run_available(events.select("session_id"), write, f"{root}/checkpoint")
-    return sinks.read_batch(spark, table, done[-1], schema) if done else start
+    newest = sinks.last_batch(spark, table)
+    return sinks.read_batch(spark, table, newest, schema) if newest >= 0 else start
 
 
 OUTCOME = "attempt_id bigint, status string, duration_seconds double"
@@ -164,7 +163,8 @@ def attempt_timeouts(events: DataFrame, limit_seconds: float = 480.0, root: str
                 elif stop is None or at < stop:
                     stop, failed = int(at), kind == "error"
         if start is not None and stop is not None:
-            state.remove() if state.exists else None
+            if state.exists:
+                state.remove()
             late = stop - start > limit * 1e6
             status = "timeout" if late else ("error" if failed else "completed")
             spent = limit if late else (stop - start) / 1e6

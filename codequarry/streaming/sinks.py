@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,15 @@ def read_batch(spark: SparkSession, root: str, batch: int, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(batch_path(root, batch))
 
 
+def last_batch(spark: SparkSession, root: str) -> int:
+    """Number of the newest batch written, -1 when there is none."""
+    try:
+        newest = spark.read.parquet(root).agg(F.max("batch")).first()[0]
+    except AnalysisException:
+        return -1
+    return -1 if newest is None else int(newest)
+
+
 def read_all(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
