@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ WORD = r"[\p{L}\p{N}_]"
 DECISION_KEYWORDS = ["if", "elif", "for", "while", "except", "with", "and", "or"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines of ``text``; no entry after a trailing break, none for ''."""
     parts = F.split(text, LINE_BREAK)

@@ -97,16 +97,30 @@ def base_names(bases: Column, bare_only: bool = False) -> Column:
     return F.filter(names, lambda b: b.rlike(f"^{NAME}$")) if bare_only else names
 
 
+def _indent(line: Column) -> Column:
+    return F.length(line) - F.length(F.ltrim(line, F.lit(BLANKS)))
+
+
+def _block(body_lines: Column) -> Column:
+    """The lines of a block at or below its own indent, without the head: struct of lines and indent."""
+    inner = F.slice(body_lines, F.lit(2), F.greatest(F.size(body_lines) - 1, F.lit(0)))
+    return text.let(inner, lambda rest: F.struct(
+        rest.alias("lines"), _indent(F.get(F.filter(rest, lambda x: strip(x) != ""), F.lit(0))).alias("indent")))
+
+
 def docstring(body_lines: Column) -> Column:
     """First statement at block level that is a string: quotes off, at most 200 characters."""
-    indent = lambda line: F.length(line) - F.length(F.ltrim(line, F.lit(BLANKS)))
-    inner = F.slice(body_lines, F.lit(2), F.greatest(F.size(body_lines) - 1, F.lit(0)))
-    level = F.array_min(F.transform(F.filter(inner, lambda x: strip(x) != ""), indent))
-    starts = F.transform(inner, lambda x: (indent(x) == level) & strip(x).rlike(STRING_START))
-    first = F.array_position(starts, True).cast("int")
-    rest = F.array_join(F.slice(inner, F.greatest(first, F.lit(1)), F.greatest(F.size(inner) - first + 1, F.lit(0))), "\n")
-    literal = F.regexp_extract(F.ltrim(rest, F.lit(BLANKS)), STRING_BODY, 1)
-    return F.when((first > 0) & (literal != ""), F.substring(F.trim(literal, F.lit("'\"")), 1, 200))
+
+    def read(block: Column) -> Column:
+        starts = F.transform(block["lines"], lambda x: strip(x).rlike(STRING_START) & (_indent(x) == block["indent"]))
+        return text.let(F.array_position(starts, True).cast("int"), lambda first: F.when(first > 0, literal(block, first)))
+
+    def literal(block: Column, first: Column) -> Column:
+        rest = F.array_join(F.slice(block["lines"], F.greatest(first, F.lit(1)), F.greatest(F.size(block["lines"]) - first + 1, F.lit(0))), "\n")
+        return F.regexp_extract(F.ltrim(rest, F.lit(BLANKS)), STRING_BODY, 1)
+
+    found = text.let(_block(body_lines), read)
+    return F.when(found != "", F.substring(F.trim(found, F.lit("'\"")), 1, 200))
 
 
 def _outline(files: DataFrame) -> DataFrame:
@@ -197,11 +211,12 @@ def extract_classes(files: DataFrame) -> DataFrame:
 
 def class_members(body_lines: Column) -> Column:
     """Names of the functions at the block's own indent, in order."""
-    indent = lambda line: F.length(line) - F.length(F.ltrim(line, F.lit(BLANKS)))
-    inner = F.slice(body_lines, F.lit(2), F.greatest(F.size(body_lines) - 1, F.lit(0)))
-    level = F.array_min(F.transform(F.filter(inner, lambda x: strip(x) != ""), indent))
-    defs = F.filter(inner, lambda x: (indent(x) == level) & strip(x).rlike(FUNCTION_HEAD))
-    return F.transform(defs, lambda x: F.regexp_extract(strip(x), FUNCTION_HEAD, 2))
+
+    def read(block: Column) -> Column:
+        defs = F.filter(block["lines"], lambda x: (_indent(x) == block["indent"]) & strip(x).rlike(FUNCTION_HEAD))
+        return F.transform(defs, lambda x: F.regexp_extract(strip(x), FUNCTION_HEAD, 2))
+
+    return text.let(_block(body_lines), read)
 
 
 def import_type(statement: Column) -> Column:

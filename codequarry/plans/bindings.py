@@ -42,28 +42,27 @@ BINDINGS = {
                  'def last(): pass', chr(10),
                  'status = "', o_orderpriority, '"') AS content
         FROM orders""",
-    # the parts catalogue as functions in files
+    # the parts catalogue as functions in files of at most 250
     "b_functions": """
         SELECT p_partkey AS id, 'function' AS node_type, p_name AS name,
-               concat(p_brand, '.', p_type, '.m', CAST(floor(p_partkey / 50) AS BIGINT), '.', p_name) AS qualified_name,
-               concat(p_brand, '/', p_type, '/m', CAST(floor(p_partkey / 50) AS BIGINT), '.py') AS file_path,
+               concat('src.', p_brand, '.m', CAST(floor(p_partkey / 250) AS BIGINT), 'x.', p_name) AS qualified_name,
+               concat('src/', p_brand, '/m', CAST(floor(p_partkey / 250) AS BIGINT), 'x.py') AS file_path,
                p_partkey AS line_start, p_size AS complexity, p_type AS purpose, p_brand AS domain,
                concat(p_name, ' ', p_type) AS docstring,
                concat('def ', replace(p_name, ' ', '_'), '(', lower(p_type), '): return ', CAST(floor(p_retailprice) AS BIGINT)) AS content,
                concat('https://github.com/acme/', p_brand, '/blob/main/', p_partkey) AS github_url
         FROM part""",
+    # a part calls the part numbered like each of its suppliers
     "b_calls": """
-        SELECT DISTINCT a.l_partkey AS caller_id, p.p_name AS called_name
-        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN a.l_linenumber + 1 AND a.l_linenumber + 2
-        JOIN part p ON p.p_partkey = b.l_partkey""",
+        SELECT DISTINCT l_partkey AS caller_id, p_name AS called_name
+        FROM lineitem JOIN part ON p_partkey = l_suppkey""",
+    # and its file imports it where the line was returned
     "b_imports": """
-        SELECT DISTINCT concat(pa.p_brand, '/', pa.p_type, '/m', CAST(floor(pa.p_partkey / 50) AS BIGINT), '.py') AS file_path,
-               concat(pb.p_brand, '.', pb.p_type, '.m', CAST(floor(pb.p_partkey / 50) AS BIGINT)) AS module, pb.p_name AS item
-        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-        JOIN part pa ON pa.p_partkey = a.l_partkey JOIN part pb ON pb.p_partkey = b.l_partkey""",
+        SELECT DISTINCT a.file_path, concat(b.p_brand, '.m', CAST(floor(b.p_partkey / 250) AS BIGINT), 'x') AS module, b.p_name AS item
+        FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') l
+        JOIN {b_functions} a ON a.id = l.l_partkey JOIN part b ON b.p_partkey = l.l_suppkey""",
     "b_membership": """
-        SELECT p_partkey AS function_id, concat(p_brand, '/', p_type, '/m', CAST(floor(p_partkey / 50) AS BIGINT), '#', p_size % 5) AS class_id
-        FROM part""",
+        SELECT id AS function_id, concat(file_path, '#', complexity % 3) AS class_id FROM {b_functions}""",
     "b_classes": """
         SELECT c_custkey AS id, 'class' AS node_type, concat('C', c_custkey) AS name, concat('N', c_nationkey, '.py') AS file_path,
                concat('N', c_nationkey, '.C', c_custkey) AS qualified_name, c_custkey AS line_start,

@@ -9,12 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codequarry.plans.bindings import BINDINGS
+from codequarry.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables of long texts: costly per row, so a single small file is spread over the cores.
+TEXT_TABLES = ("documents", "pages")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,9 +32,11 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         if name in BINDINGS:
-            return self.sql(BINDINGS[name])
+            bound = self.sql(BINDINGS[name])
+            return spread(bound) if name == "b_source" else bound
         raise AttributeError(name)
 
     def sql(self, text: str) -> DataFrame:

@@ -49,3 +49,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores, spread over all of them.
+
+    For a few unsplittable files in front of costly row functions; a scan of
+    many partitions is left as it is, so there is no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
