@@ -98,6 +98,12 @@ def unescape_entities(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_all(texts: pd.Series) -> pd.Series:
+    """``unescape_entities`` for every text of an array."""
+    return texts.map(lambda parts: [html.unescape(p) for p in parts], na_action="ignore")
+
+
 def clean_markup(text: Column) -> Column:
     """Tags out, then references decoded, then whitespace collapsed; NULL gives ''."""
     return squeeze(unescape_entities(strip_tags(F.coalesce(text, F.lit("")))))
@@ -110,14 +116,8 @@ def word_count(text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """First letter of every run of letters upper-case, the rest lower-case."""
-    marked = F.regexp_replace(F.lower(text), r"(\p{L}+)", "\u0001$1")
-    parts = F.split(marked, "\u0001")
-    head = F.element_at(parts, 1)
-    tail = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))),
-    )
-    return F.concat(head, F.array_join(tail, ""))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
 
 
 def estimate_tokens(text: Column) -> Column:

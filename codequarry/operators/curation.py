@@ -123,10 +123,9 @@ def page_text(html: Column, drop_tags: list[str] = DROPPED_TAGS, min_words: int
     dropped = "|".join(["head", *drop_tags])
     bare = F.regexp_replace(html, rf"(?is)<({dropped})\b.*?(?:</\1\s*>|\z)", " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?(?:-->|\z)", " ")
-    blocks = F.split(F.regexp_replace(bare, BLOCK_TAGS, "\u0001"), "\u0001")
-    # decoded as one text: one Arrow call per page instead of one per block
-    cleaned = text.unescape_entities(F.array_join(F.transform(blocks, text.strip_tags), "\u0001"))
-    kept = F.filter(F.transform(F.split(cleaned, "\u0001"), text.squeeze), lambda b: text.word_count(b) >= min_words)
+    # one Arrow call per page instead of one per block
+    blocks = text.unescape_all(F.transform(F.split(bare, BLOCK_TAGS), text.strip_tags))
+    kept = F.filter(F.transform(blocks, text.squeeze), lambda b: text.word_count(b) >= min_words)
     return F.array_join(kept, "\n")
 
 
@@ -168,7 +167,7 @@ def parse_responses(raw: DataFrame, column: str = "response", schema: str | None
     three repaired of trailing commas.  Adds ``method`` (``text`` when nothing
     parses) and ``parsed``: the JSON text, or a struct when a schema is given.
     """
-    whole = F.trim(F.col(column))
+    whole = text.squeeze_ends(F.col(column))
     braced = F.startswith(whole, F.lit("{")) & F.endswith(whole, F.lit("}"))
 
     def first(pattern: str) -> Column:

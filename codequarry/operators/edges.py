@@ -193,11 +193,22 @@ def module_targets(imports: DataFrame, entities: DataFrame) -> DataFrame:
     return offered.join(wanted, "piece").select("module", "id", "node_type").distinct()
 
 
-def call_members(functions: DataFrame, membership: DataFrame, imported: DataFrame) -> DataFrame:
+def import_groups(imports: DataFrame) -> DataFrame:
+    """Per file and imported item: the modules it comes from, and ``owner``, one key for that set.
+
+    Files importing an item from the same modules share the owner, so what the
+    item can mean is kept once for all of them.
+    """
+    grouped = imports.where(F.col("module").isNotNull()).groupBy("file_path", "item").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+    return grouped.withColumn("owner", F.array_join("modules", "|"))
+
+
+def call_members(functions: DataFrame, membership: DataFrame, imports: DataFrame, targets: DataFrame) -> DataFrame:
     """Which function can be meant in which hub.
 
-    A hub is (scope, owner, name): a name in a file, in a class, imported into
-    a file, or anywhere.  ``imported(file_path, item, function_id)``.
+    A hub is (scope, owner, name): a name in a file, in a class, imported from
+    a set of modules, or anywhere.  ``imports(file_path, module, item)`` and
+    ``targets(module, item, id, node_type)``.
     """
     named = functions.select(F.col("id").alias("function_id"), "file_path", "name")
     scoped = named.select("function_id", F.inline(F.array(
@@ -205,11 +216,13 @@ def call_members(functions: DataFrame, membership: DataFrame, imported: DataFram
         F.struct(F.lit("global").alias("scope"), F.lit("").alias("owner"), F.col("name").alias("name")),
     )))
     methods = named.join(membership, "function_id").select("function_id", F.lit("method").alias("scope"), F.col("class_id").alias("owner"), "name")
-    brought = imported.select("function_id", F.lit("imported").alias("scope"), F.col("file_path").alias("owner"), F.col("item").alias("name")).distinct()
+    sources = import_groups(imports).select("owner", "item", "modules").distinct().select("owner", "item", F.explode("modules").alias("module"))
+    meant = targets.where("node_type = 'function'").select("module", "item", F.col("id").alias("function_id"))
+    brought = sources.join(meant, ["module", "item"]).select("function_id", F.lit("imported").alias("scope"), "owner", F.col("item").alias("name")).distinct()
     return scoped.union(methods).union(brought)
 
 
-def call_sites(functions: DataFrame, called: DataFrame, membership: DataFrame, members: DataFrame) -> DataFrame:
+def call_sites(functions: DataFrame, called: DataFrame, membership: DataFrame, imports: DataFrame, members: DataFrame) -> DataFrame:
     """Per caller, called name and scope: the hub reached and how many functions it can mean.
 
     Local, imported and method scopes may all apply to one call; the global
@@ -218,10 +231,12 @@ def call_sites(functions: DataFrame, called: DataFrame, membership: DataFrame, m
     """
     caller = functions.select(F.col("id").alias("caller_id"), "file_path", F.col("name").alias("__own"))
     classes = membership.select(F.col("function_id").alias("caller_id"), "class_id")
-    placed = called.where(F.coalesce(F.col("called_name"), F.lit("")) != "").distinct().join(caller, "caller_id").join(classes, "caller_id", "left")
+    brought = import_groups(imports).select("file_path", F.col("item").alias("called_name"), F.col("owner").alias("modules"))
+    named = called.where(F.coalesce(F.col("called_name"), F.lit("")) != "").distinct()
+    placed = named.join(caller, "caller_id").join(classes, "caller_id", "left").join(brought, ["file_path", "called_name"], "left")
     options = F.array(
         F.struct(F.lit("local").alias("scope"), F.col("file_path").alias("owner")),
-        F.struct(F.lit("imported").alias("scope"), F.col("file_path").alias("owner")),
+        F.struct(F.lit("imported").alias("scope"), F.col("modules").alias("owner")),
         F.struct(F.lit("method").alias("scope"), F.col("class_id").alias("owner")),
         F.struct(F.lit("global").alias("scope"), F.lit("").alias("owner")),
     )

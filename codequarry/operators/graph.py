@@ -45,7 +45,7 @@ def _best(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.groupBy(*by).agg(F.min(row).alias("best"))
 
 
-def go_to_definition(requests: DataFrame, functions: DataFrame, files: DataFrame, membership: DataFrame, imported: DataFrame) -> DataFrame:
+def go_to_definition(requests: DataFrame, functions: DataFrame, files: DataFrame, membership: DataFrame, imports: DataFrame, targets: DataFrame) -> DataFrame:
     """One definition per request, searched in the file, its imports, the caller's class, anywhere.
 
     ``requests(request_id, caller_file, caller_function, function_name)``;
@@ -55,8 +55,10 @@ def go_to_definition(requests: DataFrame, functions: DataFrame, files: DataFrame
     asked = requests.join(files.select(F.col("path").alias("caller_file")), "caller_file", "left_semi")
     card = functions.select("id", "name", "file_path", "line_start", "github_url", "docstring")
     local = _best(card.withColumn("caller_file", F.col("file_path")), ["caller_file", "name"])
-    brought = imported.select(F.col("file_path").alias("caller_file"), F.col("item").alias("__item"), F.col("function_id").alias("id"))
-    through = _best(brought.join(card, "id").where(F.col("name") == F.col("__item")), ["caller_file", "name"])
+    # the best target per module, then per file importing from it
+    meant = _best(targets.select("module", "item", "id").join(card, "id").where(F.col("name") == F.col("item")), ["module", "item"])
+    through = imports.select(F.col("file_path").alias("caller_file"), "module", "item").distinct().join(meant, ["module", "item"])
+    through = through.groupBy("caller_file", F.col("item").alias("name")).agg(F.min("best").alias("best"))
     held = membership.select(F.col("function_id").alias("id"), "class_id")
     methods = _best(card.join(held, "id"), ["class_id", "name"])
     anywhere = _best(card, ["name"])

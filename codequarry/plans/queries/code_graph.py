@@ -8,6 +8,7 @@ from codequarry.operators import edges, extract, graph
 from codequarry.plans import catalogue
 from codequarry.plans.queries.extraction import CODE, _complexity_sql
 from codequarry.plans.registry import Inputs, query
+from codequarry.session import materialize
 
 # ---------------------------------------------------------------- inputs
 
@@ -17,18 +18,14 @@ def _imports(t: Inputs):
     return rows.withColumn("import_id", F.concat_ws("|", "file_path", "module", "item"))
 
 
-def _imported(t: Inputs):
-    """(file, item, function) through the imports of the file."""
-    found = edges.import_targets(_imports(t), t.b_functions)
-    return _imports(t).join(found, ["module", "item"]).select("file_path", "item", F.col("id").alias("function_id")).distinct()
-
-
 def _members(t: Inputs):
-    return edges.call_members(t.b_functions, t.b_membership, _imported(t))
+    """Hub members, written out: the call sites and their readers both use them."""
+    targets = edges.import_targets(t.b_imports, t.b_functions)
+    return materialize(edges.call_members(t.b_functions, t.b_membership, t.b_imports, targets), "members")
 
 
-def _sites(t: Inputs):
-    return edges.call_sites(t.b_functions, t.b_calls, t.b_membership, _members(t))
+def _sites(t: Inputs, members=None):
+    return edges.call_sites(t.b_functions, t.b_calls, t.b_membership, t.b_imports, members if members is not None else _members(t))
 
 
 def _inherits(t: Inputs):
@@ -40,12 +37,14 @@ CALL_EDGES = """
     f AS {b_functions}, c AS {b_calls}, m AS {b_membership}, i AS {b_imports},
     imported AS (SELECT DISTINCT i.file_path, i.item, f.id FROM i JOIN f ON f.name = i.item
                  AND (contains(f.file_path, replace(i.module, '.', '/')) OR ends_with(f.file_path, i.module || '.py'))),
+    grp AS (SELECT file_path, item, string_agg(DISTINCT module, '|' ORDER BY module) AS owner FROM i GROUP BY file_path, item),
     near AS (
       SELECT c.caller_id, c.called_name, 'local' AS scope, a.file_path AS owner, b.id AS dst
       FROM c JOIN f a ON a.id = c.caller_id JOIN f b ON b.file_path = a.file_path AND b.name = c.called_name AND b.id <> a.id
       UNION ALL
-      SELECT c.caller_id, c.called_name, 'imported', a.file_path, x.id
+      SELECT c.caller_id, c.called_name, 'imported', g.owner, x.id
       FROM c JOIN f a ON a.id = c.caller_id JOIN imported x ON x.file_path = a.file_path AND x.item = c.called_name
+      JOIN grp g ON g.file_path = a.file_path AND g.item = c.called_name
       UNION ALL
       SELECT c.caller_id, c.called_name, 'method', ma.class_id, b.id
       FROM c JOIN m ma ON ma.function_id = c.caller_id JOIN m mb ON mb.class_id = ma.class_id
@@ -190,14 +189,27 @@ def scoped_call_sites(t: Inputs):
     return _sites(t)
 
 
+@query(
+    "call_hub_members",
+    """WITH f AS {b_functions}, i AS {b_imports}, grp AS (SELECT file_path, item, string_agg(DISTINCT module, '|' ORDER BY module) AS owner FROM i GROUP BY file_path, item)
+       SELECT id AS function_id, 'local' AS scope, file_path AS owner, name FROM f
+       UNION ALL SELECT id, 'global', '', name FROM f
+       UNION ALL SELECT f.id, 'method', m.class_id, f.name FROM f JOIN {b_membership} m ON m.function_id = f.id
+       UNION ALL SELECT DISTINCT f.id, 'imported', grp.owner, f.name FROM i JOIN grp ON grp.file_path = i.file_path AND grp.item = i.item
+         JOIN f ON f.name = i.item AND (contains(f.file_path, replace(i.module, '.', '/')) OR ends_with(f.file_path, i.module || '.py'))""",
+)
+def call_hub_members(t: Inputs):
+    return _members(t)
+
+
 @query(
     "scoped_call_edges",
     f"""WITH {CALL_EDGES} SELECT caller_id AS src, {TYPES} AS type, dst, called_name, scope AS resolution_type, CAST({PRIORITIES} AS BIGINT) AS priority
         FROM call_edges WHERE scope <> 'global'""",
 )
 def scoped_call_edges(t: Inputs):
-    near = _sites(t).where("scope <> 'global'")
-    return edges.expand_calls(near, _members(t))
+    members = _members(t)
+    return edges.expand_calls(_sites(t, members).where("scope <> 'global'"), members)
 
 
 def _group_sql(view: str, key: str) -> str:
@@ -319,7 +331,7 @@ def definitions(t: Inputs):
     requests = t.b_calls.join(caller, "caller_id").select(
         F.concat_ws(":", "caller_id", "called_name").alias("request_id"), "caller_file", "caller_function", F.col("called_name").alias("function_name"))
     files = functions.select(F.col("file_path").alias("path")).distinct()
-    return graph.go_to_definition(requests, functions, files, t.b_membership, _imported(t))
+    return graph.go_to_definition(requests, functions, files, t.b_membership, t.b_imports, edges.import_targets(t.b_imports, functions))
 
 
 @query(
@@ -346,7 +358,7 @@ def definitions(t: Inputs):
 def usages(t: Inputs):
     functions, classes = t.b_functions, t.b_classes
     members = _members(t)
-    sites = edges.call_sites(functions, t.b_calls, t.b_membership, members)
+    sites = materialize(_sites(t, members), "sites")
     imports = _imports(t)
     resolved = imports.join(edges.import_targets(imports, functions), ["module", "item"]).select(
         F.col("import_id").alias("src"), "node_type", F.col("id").alias("dst"))
@@ -502,7 +514,8 @@ def node_profile(t: Inputs):
         FROM (SELECT DISTINCT type FROM x)""",
 )
 def edge_profile(t: Inputs):
-    return graph.edge_profile(edges.expand_calls(_sites(t).where("scope <> 'global'"), _members(t)))
+    members = _members(t)
+    return graph.edge_profile(edges.expand_calls(_sites(t, members).where("scope <> 'global'"), members))
 
 
 NODES_SQL = """(SELECT 'Function' AS label, id, name, file_path, qualified_name, content FROM {b_functions}
