@@ -16,8 +16,10 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Characters that count as white space.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-# Word characters: letters, numbers, underscore (any script).
-WORD = r"[\p{L}\p{N}_]"
+# Word characters: letters, numbers, underscore (any script); the common ones are tried first.
+WORD = r"[A-Za-z0-9_\p{L}\p{N}]"
+# A whole word in front of '('; tried only where a word starts.
+CALL = rf"(?<!{WORD})({WORD}++)\s*+\("
 
 # Decision keywords counted for complexity.
 DECISION_KEYWORDS = ["if", "elif", "for", "while", "except", "with", "and", "or"]
@@ -47,7 +49,7 @@ def number_lines(text: Column) -> Column:
 
 def called_names(body: Column, own: Column, limit: int = 10) -> Column:
     """First ``limit`` distinct names followed by '(' in order of appearance, own name left out."""
-    names = F.regexp_extract_all(body, F.lit(rf"({WORD}+)\s*\("), F.lit(1))
+    names = F.regexp_extract_all(body, F.lit(CALL), F.lit(1))
     return F.slice(F.array_distinct(F.filter(names, lambda n: n != own)), 1, limit)
 
 

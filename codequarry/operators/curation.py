@@ -174,20 +174,17 @@ def parse_responses(raw: DataFrame, column: str = "response", schema: str | None
         found = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))
         return F.get(F.array_compact(F.transform(found, lambda c: _valid(without_trailing_commas(c)))), F.lit(0))
 
-    method, parsed = F.lit("text"), F.lit(None).cast("string")
-    for name, value in [
-        ("braces", first(r"(?s)(\{.*?\})")),
-        ("fenced", first(r"(?s)```\s*(.*?)\s*```")),
-        ("fenced_json", first(r"(?s)```json\s*(.*?)\s*```")),
-    ]:
-        method = F.when(value.isNotNull(), name).otherwise(method)
-        parsed = F.coalesce(value, parsed)
-    direct = _valid(whole)
-    method = F.when(braced, F.when(direct.isNotNull(), "direct").otherwise("error")).otherwise(method)
-    parsed = F.when(braced, direct).otherwise(parsed)
+    tries = [
+        F.when(braced, F.struct(F.when(_valid(whole).isNotNull(), "direct").otherwise("error").alias("method"), _valid(whole).alias("parsed"))),
+        *[F.struct(F.lit(name).alias("method"), first(pattern).alias("parsed")) for name, pattern in (
+            ("fenced_json", r"(?s)```json\s*(.*?)\s*```"), ("fenced", r"(?s)```\s*(.*?)\s*```"), ("braces", r"(?s)(\{.*?\})"))],
+    ]
+    settled = F.filter(F.array(*tries), lambda t: t["parsed"].isNotNull() | (t["method"] == "error"))
+    tried = raw.withColumn("__tried", F.get(settled, F.lit(0)))
+    method, parsed = F.coalesce("__tried.method", F.lit("text")), F.col("__tried.parsed")
     if schema is not None:
         parsed = F.from_json(parsed, schema)
-    return raw.withColumn("method", method).withColumn("parsed", parsed)
+    return tried.withColumn("method", method).withColumn("parsed", parsed).drop("__tried")
 
 
 # Words that open a section, the first family found in a line wins.

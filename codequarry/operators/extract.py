@@ -131,28 +131,35 @@ def _outline(files: DataFrame) -> DataFrame:
     return marked.withColumn("spans", block_spans("indents"))
 
 
-def _heads(files: DataFrame, pattern: str) -> DataFrame:
-    """One row per line whose stripped text matches, with extent and body lines."""
+FUNCTION_STARTS = ["def", "async"]
+CLASS_STARTS = ["class"]
+
+
+def _heads(files: DataFrame, pattern: str, starts: list[str]) -> DataFrame:
+    """One row per line whose stripped text matches, with extent and body lines.
+
+    Lines not beginning with one of ``starts`` are passed over before the
+    regular expression runs; only heads are described and given their body.
+    """
     outline = _outline(files)
-    at = lambda array, i: F.element_at(F.col(array), i)
-    described = F.transform(
-        "lines",
-        lambda x, i: F.struct(
-            (i + 1).alias("line_start"), strip(x).alias("head"), at("indents", i + 1).alias("indent"),
-            at("spans.ends", i + 1).alias("line_end"), at("spans.openers", i + 1).alias("opener"),
-        ),
-    )
-    kept = F.filter(described, lambda h: h["head"].rlike(pattern))
-    with_body = F.transform(
-        kept,
-        lambda h: F.struct(
-            h["line_start"].alias("line_start"), h["line_end"].alias("line_end"), h["indent"].alias("indent"),
-            h["opener"].alias("opener"), h["head"].alias("head"),
-            F.slice(F.col("lines"), h["line_start"], h["line_end"] - h["line_start"] + 1).alias("body"),
-        ),
-    )
+
+    def is_head(line: Column) -> Column:
+        begins = F.lit(False)
+        for start in starts:
+            begins = begins | F.startswith(line, F.lit(start))
+        return begins & line.rlike(pattern)
+
+    numbers = F.transform("lines", lambda x, i: F.when(is_head(F.ltrim(x, F.lit(BLANKS))), i + 1))
+
+    def described(n: Column) -> Column:
+        at = lambda array: F.element_at(F.col(array), n)
+        return F.struct(
+            n.alias("line_start"), at("spans.ends").alias("line_end"), at("indents").alias("indent"), at("spans.openers").alias("opener"),
+            strip(at("lines")).alias("head"), F.slice(F.col("lines"), n, at("spans.ends") - n + 1).alias("body"),
+        )
+
     keep = [c for c in files.columns if c not in ("content", "size")]
-    return outline.select(*keep, F.inline(with_body))
+    return outline.select(*keep, F.inline(F.transform(F.array_compact(numbers), described)))
 
 
 def _entity(heads: DataFrame, name: Column, node_type: str) -> DataFrame:
@@ -172,9 +179,9 @@ def _entity(heads: DataFrame, name: Column, node_type: str) -> DataFrame:
 def extract_functions(files: DataFrame, annotated: bool = True) -> DataFrame:
     """Function rows; ``annotated=False`` leaves out heads with a return annotation."""
     pattern = FUNCTION_HEAD if annotated else STRICT_FUNCTION_HEAD
-    heads = _heads(files, pattern)
+    heads = _heads(files, pattern, FUNCTION_STARTS)
     group = lambda i: F.regexp_extract("head", pattern, i)
-    named = _entity(heads, group(2), "function")
+    named = _entity(heads, group(2), "function").withColumn("parameters", parameter_names(group(3)))
     return named.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
         paths.entity_id(F.col("path"), F.col("name"), F.col("line_start")).alias("id"),
@@ -182,18 +189,18 @@ def extract_functions(files: DataFrame, annotated: bool = True) -> DataFrame:
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "opener", "language",
         F.substring("text", 1, 500).alias("content"),
-        parameter_names(group(3)).alias("parameters"),
+        "parameters",
         text.called_names(F.col("text"), F.col("name")).alias("calls"),
         text.complexity(F.col("text")).alias("complexity"),
         (group(1) != "").alias("is_async"),
-        F.array_contains(parameter_names(group(3)), "self").alias("is_method"),
+        F.array_contains("parameters", "self").alias("is_method"),
         docstring(F.col("body")).alias("docstring"),
     )
 
 
 def extract_classes(files: DataFrame) -> DataFrame:
     """Class rows with base names and the names of the methods directly inside."""
-    heads = _heads(files, CLASS_HEAD)
+    heads = _heads(files, CLASS_HEAD, CLASS_STARTS)
     named = _entity(heads, F.regexp_extract("head", CLASS_HEAD, 1), "class")
     bases = F.regexp_extract("head", CLASS_HEAD, 2)
     return named.select(
@@ -282,7 +289,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 def block_extents(files: DataFrame) -> DataFrame:
     """Extent of every function and class block."""
-    heads = _heads(files, f"{FUNCTION_HEAD}|{CLASS_HEAD}")
+    heads = _heads(files, f"{FUNCTION_HEAD}|{CLASS_HEAD}", FUNCTION_STARTS + CLASS_STARTS)
     return heads.select(
         "path", "head", "line_start", "line_end", (F.col("indent") + 1).alias("column_start"),
         (F.length(F.element_at("body", -1)) + 1).alias("column_end"),

@@ -140,7 +140,7 @@ def class_hierarchy(inherits: DataFrame, classes: DataFrame, name: str, max_dept
     One join per level; every level is written out, so the loop's plan stays
     flat and an executor loss costs a re-read.
     """
-    edges = inherits.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
+    edges = materialize(inherits.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct(), "inherits")
     roots = classes.where(F.col("name") == name).select(F.col("id").alias("parent"))
     pair = F.concat_ws(">", F.col("child").cast("string"), F.col("parent").cast("string"))
     top = edges.join(roots, "parent").select("child", "parent", F.col("parent").alias("root"))

@@ -39,9 +39,10 @@ def parse_ps(lines: DataFrame, by: list[str] = [], cap: int | None = None) -> Da
     """
     taken = lines if cap is None else top_n(lines, by, ["line_no"], cap, "__line").drop("__line")
     fields = F.split(F.ltrim("line"), r"\s+", 11)
-    rows = taken.withColumn("__f", fields).where(F.size("__f") >= 11)
-    named = [F.col("__f")[i].alias(c) for i, c in enumerate(PS_COLUMNS)]
-    return rows.select(*[c for c in lines.columns if c != "line"], *named)
+    keep = [c for c in lines.columns if c != "line"]
+    # generated, so that later conditions on single fields do not split the line again
+    rows = taken.select(*keep, F.explode(F.filter(F.array(fields), lambda f: F.size(f) >= 11)).alias("__f"))
+    return rows.select(*keep, *[F.col("__f")[i].alias(c) for i, c in enumerate(PS_COLUMNS)])
 
 
 def is_application(command: Column, user: Column) -> Column:

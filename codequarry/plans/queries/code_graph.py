@@ -18,9 +18,9 @@ def _imports(t: Inputs):
     return rows.withColumn("import_id", F.concat_ws("|", "file_path", "module", "item"))
 
 
-def _members(t: Inputs):
+def _members(t: Inputs, targets=None):
     """Hub members, written out: the call sites and their readers both use them."""
-    targets = edges.import_targets(t.b_imports, t.b_functions)
+    targets = edges.import_targets(t.b_imports, t.b_functions) if targets is None else targets
     return materialize(edges.call_members(t.b_functions, t.b_membership, t.b_imports, targets), "members")
 
 
@@ -357,10 +357,11 @@ def definitions(t: Inputs):
 )
 def usages(t: Inputs):
     functions, classes = t.b_functions, t.b_classes
-    members = _members(t)
-    sites = materialize(_sites(t, members), "sites")
     imports = _imports(t)
-    resolved = imports.join(edges.import_targets(imports, functions), ["module", "item"]).select(
+    targets = materialize(edges.import_targets(imports, functions), "targets")
+    members = _members(t, targets)
+    sites = materialize(_sites(t, members), "sites")
+    resolved = imports.join(targets, ["module", "item"]).select(
         F.col("import_id").alias("src"), "node_type", F.col("id").alias("dst"))
     requests = functions.select("name").union(classes.select("name"))
     rows = imports.select(F.col("import_id").alias("id"), "file_path", F.lit(0).cast("bigint").alias("line_start"), F.lit("").alias("github_url"))
