@@ -28,11 +28,14 @@ def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int, name:
     """First ``n`` rows of each key with their rank.
 
     The rank filter lets Spark cut every key to ``n`` rows in each map task
-    before the shuffle, so a hot key sends at most ``n`` rows per task.
+    before the shuffle, so a hot key sends at most ``n`` rows per task.  Spark
+    does so up to a threshold; larger ``n`` use ``positions``.
     """
     order = _cols(order)
     if not by:
         df = df.orderBy(*order).limit(n)
+    elif n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return positions(df, by, order, name).where(F.col(name) <= n)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn(name, rank.cast("bigint")).where(F.col(name) <= n)
 
@@ -44,7 +47,7 @@ def positions(df: DataFrame, by: list[str], order: list[Column | str], name: str
     partitions; each partition numbers its own rows and adds the row counts of
     the key's earlier partitions.  The partitioning is written out first: a
     recomputed range partitioning could cut elsewhere.  ``order`` must be unique
-    within a key and ``by`` columns must not be NULL.
+    within a key.
     """
     order = _cols(order)
     spread = [F.col(c) for c in by] + order
@@ -53,6 +56,8 @@ def positions(df: DataFrame, by: list[str], order: list[Column | str], name: str
     local = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order))
     sizes = ranged.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__size"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", *by, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
-    numbered = ranged.withColumn("__local", local).join(offsets, ["__part", *by])
+    keys = ["__part", *by]
+    offsets = sizes.select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
+    numbered = ranged.withColumn("__local", local).join(offsets, same)
     return numbered.select(*df.columns, (F.col("__local") + F.col("__before")).cast("bigint").alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import retrieval
 from codequarry.plans.registry import Inputs, query
+from codequarry.session import materialize
 
 # Query vectors: the mean vector of every label, rounded so both engines start from equal numbers.
 MEANS_SQL = """(SELECT label, list(m ORDER BY spot) AS embedding FROM (
@@ -116,7 +117,7 @@ def fused_hits(t: Inputs):
         FROM hits h JOIN u ON u.query_id = h.query_id GROUP BY h.query_id, type""",
 )
 def strategy_breakdown(t: Inputs):
-    return retrieval.strategy_breakdown(_hits(t))
+    return retrieval.strategy_breakdown(materialize(_hits(t), "hits"))
 
 
 @query(
@@ -183,7 +184,7 @@ def _results(hits):
         FROM e LEFT JOIN b ON b.query_id = e.query_id WHERE is_valid""",
 )
 def empty_result_notes(t: Inputs):
-    hits = _hits(t)
+    hits = materialize(_hits(t), "hits")
     asked = _strategies(t).select("query_id", (F.col("query_id") != 9).alias("is_valid")).distinct()
     return retrieval.diagnose_empty(asked, _results(hits), hits)
 
@@ -197,7 +198,7 @@ def empty_result_notes(t: Inputs):
         FROM {{b_questions}} q LEFT JOIN p ON p.query_id = q.query_id LEFT JOIN h ON h.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id""",
 )
 def run_records(t: Inputs):
-    hits = _hits(t)
+    hits = materialize(_hits(t), "hits")
     questions = t.b_questions.withColumnRenamed("value", "elapsed")
     return retrieval.run_record(questions, retrieval.plan_strategies(t.b_questions), hits, _results(hits))
 

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, written intermediates, size checks."""
+"""Session helpers: the shared folder and written intermediates."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows up to which a side may be broadcast by hand.  Everything larger goes
-# through a shuffle (AQE still broadcasts on its own measured sizes).
-BROADCAST_ROWS = 10_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it.
@@ -46,11 +42,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(df: DataFrame) -> DataFrame:
     """A scan in fewer partitions than there are cores, spread over all of them.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions.ranking import first_per_key, positions, top_n
-from codequarry.session import fits, materialize
+from codequarry.session import materialize
 from codequarry.sources import tables
 
 
@@ -68,8 +68,19 @@ def test_first_and_last_per_key(spark):
     assert dict(first_per_key(df, ["k"], ["o"], last=True).collect()) == {k: v[-1] for k, v in data.items()}
 
 
-def test_fits(spark):
-    assert fits(spark.range(10), 10) and not fits(spark.range(11), 10)
+def test_top_n_beyond_the_threshold(spark, many_parts):
+    df = skewed(spark)
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(key, "2")
+    got = top_n(df, ["k"], ["o"], 3)
+    spark.conf.unset(key)
+    want = sorted((k, o, i + 1) for k, v in brute(df.collect()).items() for i, o in enumerate(v[:3]))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_positions_keep_rows_without_key(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "k string, o int")
+    assert {(r["k"], r["o"], r["position"]) for r in positions(df, ["k"], ["o"]).collect()} == {(None, 1, 1), (None, 2, 2), ("a", 5, 1)}
 
 
 def test_materialize_keeps_rows_and_types(spark):
