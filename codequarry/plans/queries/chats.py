@@ -167,10 +167,10 @@ def attempt_timeouts(t: Inputs):
 @query(
     "live_attempts",
     """WITH e AS (SELECT event_id, event_type, value, epoch_us(ts) AS us FROM events),
-       clock AS (SELECT max(CASE WHEN event_type = 'view' THEN us ELSE us + CAST(floor(value * 20 * 1000000) AS BIGINT) END) // 1000 AS ms FROM e)
+       clock AS (SELECT max(CASE WHEN event_type = 'view' THEN us ELSE us + CAST(floor(value * 20 * 1000000) AS BIGINT) END) AS t FROM e)
        SELECT event_id AS attempt_id, CASE WHEN event_type = 'view' OR value * 20 > 480 THEN 'timeout' WHEN event_type = 'error' THEN 'error' ELSE 'completed' END AS status,
               round(CASE WHEN event_type = 'view' OR value * 20 > 480 THEN 480.0 ELSE value * 20 END, 3) AS duration_seconds
-       FROM e, clock WHERE event_type <> 'view' OR us // 1000 + 480000 < clock.ms""",
+       FROM e, clock WHERE event_type <> 'view' OR us + 480000000 <= clock.t""",
 )
 def live_attempts(t: Inputs):
     found = live.attempt_timeouts(_attempt_events(_events(t, _stream(t, "events"))))

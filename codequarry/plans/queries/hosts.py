@@ -323,18 +323,19 @@ def folder_rollup(t: Inputs):
 
 @query(
     "model_call_summary",
-    """SELECT host, count(*) AS total_calls, count(DISTINCT stage) AS stages, CAST(0.9 AS DOUBLE) AS confidence, round(sum(duration), 4) AS total_duration, round(avg(duration), 4) AS avg_duration
+    """SELECT host, count(*) AS total_calls, count(DISTINCT stage) AS stages, CAST(0.9 AS DOUBLE) AS confidence, round(sum(duration), 2) AS total_duration, round(avg(duration) + 0.0000001, 3) AS avg_duration
        FROM {b_model_calls} GROUP BY host""",
 )
 def model_call_summary(t: Inputs):
     rows = inventory.model_call_summary(t.b_model_calls, ["host"])
-    return rows.withColumns({"total_duration": F.round("total_duration", 4), "avg_duration": F.round("avg_duration", 4)})
+    # the shift keeps exact halves from rounding either way
+    return rows.withColumns({"total_duration": F.round("total_duration", 2), "avg_duration": F.round(F.col("avg_duration") + 0.0000001, 3)})
 
 
-@query("command_rollup", "SELECT host, count(*) AS commands, count(*) FILTER (stage = 'error') AS failures, round(sum(duration), 4) AS duration FROM {b_model_calls} GROUP BY host")
+@query("command_rollup", "SELECT host, count(*) AS commands, count(*) FILTER (stage = 'error') AS failures, round(sum(duration), 2) AS duration FROM {b_model_calls} GROUP BY host")
 def command_rollup(t: Inputs):
     commands = t.b_model_calls.withColumn("success", F.col("stage") != "error")
-    return inventory.command_rollup(commands).withColumn("duration", F.round("duration", 4))
+    return inventory.command_rollup(commands).withColumn("duration", F.round("duration", 2))
 
 
 SCANS = f"""(SELECT coalesce(p.host, f.host, c.host) AS host, coalesce(p.n, 0) AS processes_analyzed, coalesce(f.n, 0) AS files_analyzed, coalesce(c.n, 0) AS total_commands_executed

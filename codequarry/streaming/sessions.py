@@ -1,23 +1,19 @@
 """Session operators as streams.
 
-Aggregates use Spark's own state and emit updates; operators that need an order
-within a session number each micro-batch with the distributed ``positions`` and
-carry one row per session from batch to batch.  Only attempts, whose groups are
-two or three events, use a Python state function.
+Aggregates use Spark's own state and emit updates.  Operators that need an order
+within a session, or a clock, join each micro-batch with a small table the batch
+before left behind (one row per session or open attempt) and leave their own;
+a batch that is run again starts from the same predecessor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codequarry.functions.ranking import first_per_key, positions
 from codequarry.operators import sessions
-from codequarry.session import scratch_path
+from codequarry.session import materialize, scratch_path
 from codequarry.sources.tables import upsert
 from codequarry.streaming import sinks
 
@@ -137,53 +133,45 @@ def upsert_sessions(events: DataFrame, start: DataFrame, root: str | None = None
     return sinks.read_batch(spark, table, newest, schema) if newest >= 0 else start
 
 
-OUTCOME = "attempt_id bigint, status string, duration_seconds double"
-
-
-def attempt_timeouts(events: DataFrame, limit_seconds: float = 480.0, root: str | None = None) -> DataFrame:
+def attempt_timeouts(events: DataFrame, limit_seconds: int = 480, root: str | None = None) -> DataFrame:
     """Outcomes of attempts as their events arrive; ``events(attempt_id, kind, ts)``.
 
-    An attempt whose limit passes in event time without an end is a timeout.
-    A late end after that is dropped with the state.
+    ``open`` carries the attempts without an outcome from batch to batch,
+    ``clock`` the latest event time.  An attempt is a timeout when it ends after
+    its limit, or when the clock passes the limit without an end.  An end whose
+    start has not come within the limit is dropped.
     """
     spark = events.sparkSession
     root = root or scratch_path(spark, "attempts")
-    limit = limit_seconds
-
-    def decide(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"attempt_id": [key[0]], "status": ["timeout"], "duration_seconds": [limit]})
-            return
-        start, stop, failed = state.get if state.exists else (None, None, False)
-        for frame in frames:
-            for kind, at in zip(frame["kind"], frame["micros"]):
-                if kind == "start":
-                    start = int(at) if start is None else min(start, int(at))
-                elif stop is None or at < stop:
-                    stop, failed = int(at), kind == "error"
-        if start is not None and stop is not None:
-            if state.exists:
-                state.remove()
-            late = stop - start > limit * 1e6
-            status = "timeout" if late else ("error" if failed else "completed")
-            spent = limit if late else (stop - start) / 1e6
-            yield pd.DataFrame({"attempt_id": [key[0]], "status": [status], "duration_seconds": [spent]})
-            return
-        state.update((start, stop, failed))
-        if start is not None:
-            due = int(start / 1000 + limit * 1000)
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                state.remove()
-                yield pd.DataFrame({"attempt_id": [key[0]], "status": ["timeout"], "duration_seconds": [limit]})
-
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("micros", F.unix_micros("ts"))
-    watched = stamped.withWatermark("ts", "0 seconds")
-    outcomes = watched.groupBy("attempt_id").applyInPandasWithState(
-        decide, OUTCOME, "start bigint, stop bigint, failed boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    table = f"{root}/table"
-    sinks.run_available(outcomes, lambda df, batch: sinks.write_batch(df, table, batch), f"{root}/checkpoint")
-    return sinks.read_all(spark, table).drop("batch")
+    outcomes, waiting, clocks = f"{root}/outcomes", f"{root}/open", f"{root}/clock"
+    kind = dict(events.dtypes)["attempt_id"]
+    limit = int(limit_seconds * 1_000_000)
+    columns = f"attempt_id {kind}, start BIGINT, stop STRUCT<at: BIGINT, failed: BOOLEAN>"
+
+    def write(df: DataFrame, batch: int) -> None:
+        session = df.sparkSession
+        moment = F.unix_micros(F.col("ts").cast("timestamp"))
+        is_start = F.col("kind") == "start"
+        fresh = df.select(
+            "attempt_id", F.when(is_start, moment).alias("start"),
+            F.when(~is_start, F.struct(moment.alias("at"), (F.col("kind") == "error").alias("failed"))).alias("stop"))
+        seen = sinks.read_batch(session, clocks, batch - 1, "at BIGINT")
+        sinks.write_batch(seen.union(df.select(moment.alias("at"))).agg(F.max("at").alias("at")), clocks, batch)
+        clock = sinks.read_batch(session, clocks, batch, "at BIGINT").scalar()
+        known = sinks.read_batch(session, waiting, batch - 1, columns).union(fresh)
+        merged = known.groupBy("attempt_id").agg(F.min("start").alias("start"), F.min("stop").alias("stop")).withColumn("clock", clock)
+        due = F.col("start") + limit
+        ended, overdue = F.col("stop").isNotNull() & F.col("start").isNotNull(), F.col("clock") >= due
+        status = (
+            F.when(ended & (F.col("stop.at") > due), "timeout").when(ended & F.col("stop.failed"), "error").when(ended, "completed")
+            .when(F.col("start").isNotNull() & overdue, "timeout")
+        )
+        judged = materialize(merged.withColumn("status", status), "attempts")
+        spent = F.when(F.col("status") == "timeout", F.lit(limit)).otherwise(F.col("stop.at") - F.col("start")) / 1e6
+        done = judged.where(F.col("status").isNotNull())
+        sinks.write_batch(done.select("attempt_id", "status", spent.alias("duration_seconds")), outcomes, batch)
+        lost = F.col("start").isNull() & (F.col("clock") >= F.col("stop.at") + limit)
+        sinks.write_batch(judged.where(F.col("status").isNull() & ~lost).select("attempt_id", "start", "stop"), waiting, batch)
+
+    sinks.run_available(events, write, f"{root}/checkpoint")
+    return sinks.read_all(spark, outcomes).drop("batch")
