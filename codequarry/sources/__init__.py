@@ -1 +1 @@
-"""sources."""
+"""Files, stored documents and written tables."""

@@ -10,6 +10,16 @@ from codequarry.functions import paths
 # Folders never descended into, and the default size limits in bytes.
 PRUNED_NAMES = ["__pycache__", "node_modules", ".git"]
 MAX_BYTES = 100_000
+# Default selection of source files.
+DEFAULT_INCLUDE = [
+    "*.py", "*.js", "*.jsx", "*.ts", "*.tsx", "*.go", "*.java", "*.pyi", "*.pyx", "*.c", "*.cc", "*.cpp", "*.h", "*.md", "*.rst",
+    "*Dockerfile", "*Makefile", "*.yaml", "*.yml",
+]
+DEFAULT_EXCLUDE = [
+    "assets/*", "data/*", "images/*", "public/*", "static/*", "temp/*", "*docs/*", "*venv/*", "*.venv/*", "*test*", "*tests/*",
+    "*examples/*", "v1/*", "*dist/*", "*build/*", "*experimental/*", "*deprecated/*", "*misc/*", "*legacy/*", ".git/*", ".github/*",
+    ".next/*", ".vscode/*", "*obj/*", "*bin/*", "*node_modules/*", "*.log",
+]
 MAX_BYTES_REMOTE = 1_000_000
 
 

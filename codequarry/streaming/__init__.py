@@ -1 +1 @@
-"""streaming."""
+"""Session operators as streams."""

@@ -101,7 +101,7 @@ def test_bullets(spark, rows):
 
 def test_read_state(spark, tmp_path):
     state = {
-        "session_id": "81530888", "search_sites": [{"title": "T", "url": "u", "description": "d"}], "extracted_urls": [],
+        "session_id": "abc12345", "search_sites": [{"title": "T", "url": "u", "description": "d"}], "extracted_urls": [],
         "crawled_content": {"results": [{"url": "u", "title": "T", "success": True, "word_count": 2848}]},
         "extraction_attempts": [{"site_title": "T", "start_time": "2025-06-20T13:24:26.672813", "duration_seconds": 76.9974365234375,
                                  "status": "completed", "urls_extracted": 31, "error_message": None, "process_terminated": False}],
