@@ -11,7 +11,7 @@ from codequarry.streaming import sessions as live
 
 
 def _events(t: Inputs, df=None):
-    """Events with the moment as a number, so no time zone enters."""
+    """Events with a curation status for each type."""
     df = t.events if df is None else df
     status = (
         F.when(F.col("event_type") == "signup", "initialized").when(F.col("event_type") == "view", "sites_found")
