@@ -81,14 +81,15 @@ def _round(prob: np.ndarray, size: np.ndarray, dice: np.random.Generator) -> np.
 
 
 def copies(units: DataFrame, fan: int = FAN, seed: int = 1) -> DataFrame:
-    """``units`` (key columns, group, wants, mass) with ``extra`` 0 or 1, in expectation ``wants``.
+    """``units`` (key, group, wants, mass and more) without the key and with ``extra`` 0 or 1, in
+    expectation ``wants``.
 
     Units of a group are dealt into nodes of about ``fan`` by a hash of their key, each node leaves
     at most one fraction, and ``fan`` nodes' fractions make a node of the next level.  A node's units
     go from the largest to the smallest, so that what is left is small; that order depends on ``mass``
     and ``key`` alone, so neither partitions nor reruns change the outcome.
     """
-    columns = units.columns
+    columns = [c for c in units.columns if c != "key"]
     hashed = F.xxhash64(F.lit(seed), "key")
     number = units.groupBy("group").agg(F.count(F.lit(1)).alias("many")).withColumnRenamed("group", "of")
     nodes = F.greatest(F.lit(1), F.ceil(F.col("many") / fan)).cast("bigint")
@@ -99,8 +100,7 @@ def copies(units: DataFrame, fan: int = FAN, seed: int = 1) -> DataFrame:
     levels, left = 1, -(-most // fan)
     while left > 1:
         levels, left = levels + 1, -(-left // fan)
-    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    schema = state.schema
 
     def run(level: int):
         def solve(table: pa.Table) -> pa.Table:
