@@ -47,10 +47,10 @@ def number_lines(text: Column) -> Column:
     return F.array_join(F.transform(split_lines(text), lambda line, i: numbered_line(i + 1, line)), "\n")
 
 
-def called_names(body: Column, own: Column, limit: int = 10) -> Column:
-    """First ``limit`` distinct names followed by '(' in order of appearance, own name left out."""
-    names = F.regexp_extract_all(body, F.lit(CALL), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(names, lambda n: n != own)), 1, limit)
+def called_names(body: Column, own: Column, limit: int | None = None) -> Column:
+    """Distinct names followed by '(' in order of appearance, own name left out; the first ``limit`` if given."""
+    names = F.array_distinct(F.filter(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)), lambda n: n != own))
+    return names if limit is None else F.slice(names, 1, limit)
 
 
 def occurrences(text: Column, part: str) -> Column:

@@ -134,9 +134,11 @@ def _spot() -> list[Column]:
     return [F.col("file_path").alias("usage_file"), F.col("line_start").alias("usage_line"), F.col("github_url").alias("github_link")]
 
 
-def class_hierarchy(inherits: DataFrame, classes: DataFrame, name: str, max_depth: int = 100) -> DataFrame:
+def class_hierarchy(inherits: DataFrame, classes: DataFrame, name: str, max_depth: int | None = None) -> DataFrame:
     """All inheritance paths that end at the classes called ``name``, no edge twice in a path.
 
+    A given ``max_depth`` that paths go beyond is an error; paths are never cut silently.
+
     One join per level; every level is written out, so the loop's plan stays
     flat and an executor loss costs a re-read.
     """
@@ -147,9 +149,9 @@ def class_hierarchy(inherits: DataFrame, classes: DataFrame, name: str, max_dept
     frontier = materialize(top.select(
         "child", "root", F.array("child", "parent").alias("path"), F.array(pair).alias("used")), "hierarchy")
     found = []
-    for _ in range(max_depth):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
+        if max_depth is not None and len(found) >= max_depth:
+            raise ValueError(f"paths below {name!r} go beyond a depth of {max_depth}")
         found.append(frontier)
         step = edges.select(F.col("child").alias("__next"), F.col("parent").alias("child"))
         hop = F.concat_ws(">", F.col("__next").cast("string"), F.col("child").cast("string"))

@@ -81,7 +81,7 @@ def content_for_labelled_files(t: Inputs):
          firsts AS (SELECT idx, name, min(spot) AS spot FROM found WHERE name <> 'inner' GROUP BY idx, name),
          ranked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY spot) AS r FROM firsts)
          SELECT s.idx, coalesce(string_agg(name, ',' ORDER BY spot), '') AS calls
-         FROM {{b_source}} s LEFT JOIN ranked ON ranked.idx = s.idx AND r <= 10 GROUP BY s.idx""",
+         FROM {{b_source}} s LEFT JOIN ranked ON ranked.idx = s.idx GROUP BY s.idx""",
 )
 def called_names(t: Inputs):
     calls = text.called_names(F.col("content"), F.lit("inner"))
@@ -146,7 +146,7 @@ def strict_function_rows(t: Inputs):
                   FROM (SELECT idx, ln, name, regexp_extract_all(body, '(\w+)\s*\(', 1) AS names FROM funcs)),
         firsts AS (SELECT idx, ln, name, called, min(spot) AS spot FROM found WHERE called <> name GROUP BY idx, ln, name, called),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY idx, ln ORDER BY spot) AS r FROM firsts)
-        SELECT idx, name, called, CAST(r - 1 AS BIGINT) AS position FROM ranked WHERE r <= 10""",
+        SELECT idx, name, called, CAST(r - 1 AS BIGINT) AS position FROM ranked""",
 )
 def function_calls(t: Inputs):
     rows = extract.extract_functions(t.b_source)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it.
 
-    Falls back to a temporary folder only when the setting is absent and the
-    session is local; on a cluster a machine-local folder would be lost with
-    its machine, so that case is an error.
+    Falls back to a temporary folder only when the setting is absent and all
+    executors are threads of this process (tests); anywhere else a machine-local
+    folder would be lost with its machine, so that case is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="codequarry-")
     spark.conf.set("spark.checkpoint.dir", root)
