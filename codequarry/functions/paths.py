@@ -91,17 +91,34 @@ def title_from_url(url: Column) -> Column:
     return title_case(F.translate(last, "-_", "  "))
 
 
+def _without_dots(path: Column) -> Column:
+    """A rooted path with its '.' and '..' segments resolved; the root has no parent."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda stack, part: F.when(part == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(1))))
+        .when(part == ".", stack).otherwise(F.concat(stack, F.array(part))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
 def absolute_link(base: Column, href: Column) -> Column:
-    """``href`` seen from page ``base``: full, protocol-relative, rooted or relative."""
+    """``href`` seen from page ``base``: full, protocol-relative, rooted, relative, only a query or only a fragment."""
     protocol = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^[^:]+://[^/]*(/.*/|/)", 1)
+    page = F.regexp_replace(base, r"(?s)#.*$", "")
+    file = F.regexp_replace(base, r"(?s)[?#].*$", "")
+    folder = F.regexp_extract(file, r"^[^:]+://[^/]*(/.*/|/)", 1)
     folder = F.when(folder == "", "/").otherwise(folder)
+    named = F.regexp_replace(href, r"(?s)[?#].*$", "")
+    rooted = F.when(F.startswith(named, F.lit("/")), named).otherwise(F.concat(folder, named))
+    path = F.when(rooted.rlike(r"/\.\.?(/|$)"), _without_dots(rooted)).otherwise(rooted)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(protocol, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .otherwise(F.concat(origin, folder, href))
+        .when((href == "") | F.startswith(href, F.lit("#")), F.concat(page, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(file, href))
+        .otherwise(F.concat(origin, path, F.regexp_extract(href, r"(?s)[?#].*$", 0)))
     )
 
 

@@ -56,10 +56,10 @@ BINDINGS = {
     "b_calls": """
         SELECT DISTINCT l_partkey AS caller_id, p_name AS called_name
         FROM lineitem JOIN part ON p_partkey = l_suppkey""",
-    # and its file imports it where the line was returned
+    # and its file imports it
     "b_imports": """
         SELECT DISTINCT a.file_path, concat(b.p_brand, '.m', CAST(floor(b.p_partkey / 250) AS BIGINT), 'x') AS module, b.p_name AS item
-        FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') l
+        FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l
         JOIN {b_functions} a ON a.id = l.l_partkey JOIN part b ON b.p_partkey = l.l_suppkey""",
     "b_membership": """
         SELECT id AS function_id, concat(file_path, '#', complexity % 3) AS class_id FROM {b_functions}""",

@@ -244,11 +244,11 @@ def same_module_links(t: Inputs):
 @query(
     "technology_edges",
     """SELECT DISTINCT n.id AS src, 'USES_TECHNOLOGY' AS type, n.tech AS dst FROM (SELECT id, unnest(string_split(name, ' ')) AS tech FROM {b_functions}) n
-       JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS module FROM part) m ON m.module = n.tech""",
+       JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS module FROM part) m ON m.module = n.tech""",
 )
 def technology_edges(t: Inputs):
     nodes = t.b_functions.withColumn("technologies", F.split("name", " "))
-    return edges.uses_technology(nodes, t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("module")))
+    return edges.uses_technology(nodes, t.part.select(F.explode(F.split("p_name", " ")).alias("module")))
 
 
 REPOSITORY = "SELECT o_orderkey AS run, concat('https://github.com/acme/r', o_custkey % 100) AS url, o_orderpriority AS branch, o_orderkey % 1000 AS total_nodes FROM orders"
@@ -265,15 +265,16 @@ def repositories(t: Inputs):
        FROM {b_functions} f LEFT JOIN embeddings e ON e.vec_id = f.id
        UNION ALL SELECT 'node', 'Class', count(*), 0, 0 FROM {b_classes}
        UNION ALL SELECT 'edge', 'DEFINED_IN', count(*), 0, 0 FROM {b_functions}
+       UNION ALL SELECT 'edge', 'IMPORTS', count(*), 0, 0 FROM {b_imports}
        UNION ALL SELECT 'edge', 'FROM_MODULE', count(*), 0, 0 FROM {b_imports}""",
 )
 def load_statistics(t: Inputs):
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.lit(True).alias("__e"))
     functions = t.b_functions.select("id").join(vectors, "id", "left").select(F.lit("Function").alias("label"), "id", F.col("__e").isNotNull().alias("has_embedding"))
     classes = t.b_classes.select(F.lit("Class").alias("label"), "id", F.lit(False).alias("has_embedding"))
-    own_files = edges.defined_in(t.b_functions, t.b_functions.select(F.col("file_path").alias("path")).distinct())
-    no_files = t.b_functions.select(F.col("file_path").alias("path")).limit(0)
-    imports = edges.import_edges(_imports(t).withColumnRenamed("import_id", "id"), no_files)
+    files = t.b_functions.select(F.col("file_path").alias("path")).distinct()
+    own_files = edges.defined_in(t.b_functions, files)
+    imports = edges.import_edges(_imports(t).withColumnRenamed("import_id", "id"), files)
     every = own_files.select(F.col("src").cast("string"), "type", "dst").union(imports)
     return edges.load_stats(functions.union(classes), every)
 
@@ -510,13 +511,13 @@ def node_profile(t: Inputs):
 
 @query(
     "edge_profile",
-    f"""WITH {CALL_EDGES}, x AS (SELECT {TYPES} AS type, called_name, scope AS resolution_type FROM call_edges WHERE scope <> 'global')
+    f"""WITH {CALL_EDGES}, x AS (SELECT {TYPES} AS type, called_name, scope AS resolution_type FROM call_edges)
         SELECT type, unnest(['called_name', 'resolution_type', 'priority']) AS property, unnest(['string', 'string', 'bigint']) AS types, true AS mandatory
         FROM (SELECT DISTINCT type FROM x)""",
 )
 def edge_profile(t: Inputs):
-    members = _members(t)
-    return graph.edge_profile(edges.expand_calls(_sites(t, members).where("scope <> 'global'"), members))
+    # all edges of a site have its properties
+    return graph.edge_profile(_sites(t).select("type", "called_name", F.col("scope").alias("resolution_type"), "priority"))
 
 
 NODES_SQL = """(SELECT 'Function' AS label, id, name, file_path, qualified_name, content FROM {b_functions}

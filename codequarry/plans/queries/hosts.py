@@ -163,12 +163,18 @@ def key_settings(t: Inputs):
 
 # Links of the pages' navigation stand for endpoints.
 ENDPOINTS = r"""(SELECT page_id, spot - 1 AS place, '/api' || href AS path FROM (SELECT page_id, unnest(hs) AS href, generate_subscripts(hs, 1) AS spot FROM (
-    SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hs FROM pages)))"""
+    SELECT page_id, regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), chr(10)), '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hs FROM pages)))"""
 RESOURCE = "split_part(path, '/', 3)"
 
 
+def _nav_links():
+    """Hrefs in all navigation elements of a page, in order."""
+    areas = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<nav\b[^>]*>(.*?)</nav>"), F.lit(1)), "\n")
+    return F.regexp_extract_all(areas, F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
+
+
 def _endpoints(t: Inputs):
-    hrefs = F.regexp_extract_all(F.regexp_extract("html", r"(?is)<nav\b[^>]*>(.*?)</nav>", 1), F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
+    hrefs = _nav_links()
     rows = t.pages.select("page_id", F.posexplode(hrefs).alias("place", "href"))
     return rows.select("page_id", F.col("place").cast("bigint"), F.concat(F.lit("/api"), "href").alias("path"))
 
@@ -202,7 +208,7 @@ def example_endpoints(t: Inputs):
     f"SELECT '' || page_id AS path, 'endpoint' AS part, path AS name FROM {ENDPOINTS} UNION ALL SELECT '' || page_id, 'model', split_part(url, '/', 3) FROM pages",
 )
 def api_documents(t: Inputs):
-    hrefs = F.regexp_extract_all(F.regexp_extract("html", r"(?is)<nav\b[^>]*>(.*?)</nav>", 1), F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
+    hrefs = _nav_links()
     files = t.pages.select(
         F.col("page_id").cast("string").alias("path"), F.transform(hrefs, lambda h: F.concat(F.lit("/api"), h)).alias("api_endpoints"),
         F.array(F.split_part("url", F.lit("/"), F.lit(3))).alias("database_models"))

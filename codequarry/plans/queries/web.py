@@ -36,12 +36,10 @@ def complete_hits(t: Inputs):
 
 @query(
     "pooled_hits",
-    """SELECT session_id, source, page_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id, relevance ORDER BY pos) AS place FROM {b_urls}
-         WHERE relevance IS NOT NULL) WHERE place <= 5""",
+    """SELECT session_id, source, page_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id, relevance ORDER BY pos) AS place FROM {b_urls}) WHERE place <= 5""",
 )
 def pooled_hits(t: Inputs):
-    hits = t.b_urls.where("relevance IS NOT NULL")
-    return curation.pool_hits(hits, ["session_id", "relevance"], ["pos"]).select("session_id", "source", "page_id", "place")
+    return curation.pool_hits(t.b_urls, ["session_id", "relevance"], ["pos"]).select("session_id", "source", "page_id", "place")
 
 
 @query(
@@ -79,7 +77,7 @@ def titles_from_urls(t: Inputs):
     "page_links",
     r"""SELECT page_id, CAST(spot - 1 AS BIGINT) AS place, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || href END AS link
         FROM (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS spot
-              FROM (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages))""",
+              FROM (SELECT page_id, url, regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), chr(10)), '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages))""",
 )
 def page_links(t: Inputs):
     return curation.page_links(t.pages)

@@ -127,9 +127,10 @@ def test_paths(spark):
 
 def test_absolute_links(spark):
     base = "https://h.org/a/b.html?q=1#t"
-    hrefs = ["/x", "y.html", "//cdn.org/z", "http://e.org", "mailto:me", "#top"]
+    hrefs = ["/x", "y.html", "//cdn.org/z", "http://e.org", "mailto:me", "#top", "?p=2", "", "../c", "../../../c/.", "./d/../e?x=../y", "/r/../s/..", "../h.html#a/../b"]
     got = column(spark, hrefs, lambda c: paths.absolute_link(F.lit(base), c))
-    assert got == ["https://h.org/x", "https://h.org/a/y.html", "https://cdn.org/z", "http://e.org", "mailto:me", "https://h.org/a/#top"]
+    assert got == ["https://h.org/x", "https://h.org/a/y.html", "https://cdn.org/z", "http://e.org", "mailto:me", "https://h.org/a/b.html?q=1#top", "https://h.org/a/b.html?p=2", "https://h.org/a/b.html?q=1",
+                   "https://h.org/c", "https://h.org/c/", "https://h.org/a/e?x=../y", "https://h.org/", "https://h.org/h.html#a/../b"]
 
 
 def test_safe_file_name(spark):
