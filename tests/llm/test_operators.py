@@ -404,6 +404,31 @@ def test_fuzzy_lines(spark):
     assert lines.decisions(table.limit(0)).count() == 0
 
 
+def test_fuzzy_lines_recall(spark):
+    dice = random.Random(21)
+    pairs = []
+    for n in [*range(5, 51, 3)] * 8:
+        parts = ["".join(dice.choices("abcdefghij", k=dice.randrange(3, 10))) for _ in range(n)]
+        other = list(parts)
+        for _ in range(dice.choice([1, 2])):
+            at, kind = dice.randrange(len(other)), dice.randrange(4)
+            if kind == 0:
+                other[at] = other[at][:1] + "z" + other[at][2:]
+            elif kind == 1:
+                other[at] = "".join(dice.choices("klmnop", k=4))
+            elif kind == 2:
+                other.insert(at, "new")
+            else:
+                del other[at]
+        pairs.append((" ".join(parts), " ".join(other)))
+    pairs += [("一二三四五六七八九十", "一二三四五六八九十"), ("login failed", "login faled"), ("ab cdef ghij", "abcdef ghij")]
+    alike = [p for p in pairs if p[0] != p[1] and distance(*p) <= int(max(map(len, p)) * 0.2 + 1e-9)]
+    assert len(alike) > 100
+    table = docs(spark, ["\n".join(p) for p in alike] + ["\n".join(p) for p in pairs if p not in alike and p[0] != p[1]])
+    found = lines.decisions(table).collect()
+    assert [r["dropped"] for r in sorted(found, key=lambda r: r["doc_id"])] == [[1]] * len(alike) + [[]] * (table.count() - len(alike))
+
+
 # ---- benchmark -------------------------------------------------------------------------------
 
 TOKEN = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
