@@ -212,28 +212,33 @@ def trie_links(prints: DataFrame, budget: int = 4) -> DataFrame:
     return ordered.mapInArrow(run, "src bigint, dst bigint")
 
 
+def _placed(nodes: DataFrame, budget: int) -> DataFrame:
+    """The rows of ``nodes``, one per fingerprint ``fp``, with the fingerprint that names their component."""
+    found = connected_components(trie_links(nodes.select("fp"), budget)).withColumnRenamed("component", "__component")
+    joined = nodes.join(found, nodes["fp"] == found["id"], "left")
+    return materialize(joined.select(*nodes.columns, F.coalesce("__component", "fp").alias("component")), "placed")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) of every row: rows whose fingerprints differ in ``budget`` bits
     or fewer are linked, and component_id is the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs, words, seed), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(trie_links(nodes.select("fp"), budget))
-    placed = nodes.join(found, nodes["fp"] == found["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    placed = materialize(placed, "placed")
+    placed = _placed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), budget)
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "component").select(F.col("fp").alias("of"), "component_id")
     return prints.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42) -> DataFrame:
-    """The documents without near-duplicates: of each component the row that names it.
+    """The documents without near-duplicates: of each component one row.
 
-    Of several rows with that doc_id the first by source and text stays.
+    It is the first by doc_id (NULL last), source, text hash and a number given to the row, whatever
+    ids its component shares with others.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, words, budget, seed)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered")
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "source", F.xxhash64("text").alias("hash"), "__row").alias("doc_id"), "text")
+    prints = materialize(fingerprints(named, words, seed), "fingerprints")
+    placed = _placed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), budget)
+    kept = placed.groupBy("component").agg(F.min("least").alias("first")).select(F.col("first.__row").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

@@ -266,6 +266,17 @@ def test_simhash_groups(spark):
     assert simhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_first_of_each_without_ids(spark):
+    dice = random.Random(31)
+    one, two, three, four, five = (words(dice, 60) for _ in range(5))
+    rows = [(None, one, "b"), (None, one, "a"), (None, two, "a"), (7, three, "a"), (7, four, "a"), (9, four, "a"), (3, one, "c"), (None, five, None), (None, None, "a"), (None, "", "b")]
+    table = spark.createDataFrame([(i, t, None, s, None, "x", "y") for i, t, s in rows], DOCS)
+    kept = simhash.first_of_each(table.repartition(4))
+    assert kept.columns == table.columns
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, one, "c"), (None, two, "a"), (7, three, "a"), (7, four, "a"), (None, five, None), (None, None, "a")], key=repr)
+
+
 @pytest.mark.parametrize("most", [1 << 18, 5])
 def test_trie_links(spark, most):
     dice = np.random.default_rng(10)
