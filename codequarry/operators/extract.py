@@ -108,8 +108,8 @@ def _block(body_lines: Column) -> Column:
         rest.alias("lines"), _indent(F.get(F.filter(rest, lambda x: strip(x) != ""), F.lit(0))).alias("indent")))
 
 
-def docstring(body_lines: Column) -> Column:
-    """First statement at block level that is a string: quotes off, at most 200 characters."""
+def docstring(body_lines: Column, most: int | None = 200) -> Column:
+    """First statement at block level that is a string: quotes off, at most ``most`` characters (None: all)."""
 
     def read(block: Column) -> Column:
         starts = F.transform(block["lines"], lambda x: strip(x).rlike(STRING_START) & (_indent(x) == block["indent"]))
@@ -120,7 +120,8 @@ def docstring(body_lines: Column) -> Column:
         return F.regexp_extract(F.ltrim(rest, F.lit(BLANKS)), STRING_BODY, 1)
 
     found = text.let(_block(body_lines), read)
-    return F.when(found != "", F.substring(F.trim(found, F.lit("'\"")), 1, 200))
+    bare = F.trim(found, F.lit("'\""))
+    return F.when(found != "", bare if most is None else F.substring(bare, 1, most))
 
 
 def _outline(files: DataFrame) -> DataFrame:
@@ -188,13 +189,13 @@ def extract_functions(files: DataFrame, annotated: bool = True) -> DataFrame:
         "node_type", "name",
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "opener", "language",
-        F.substring("text", 1, 500).alias("content"),
+        F.col("text").alias("content"),
         "parameters",
         text.called_names(F.col("text"), F.col("name")).alias("calls"),
         text.complexity(F.col("text")).alias("complexity"),
         (group(1) != "").alias("is_async"),
         F.array_contains("parameters", "self").alias("is_method"),
-        docstring(F.col("body")).alias("docstring"),
+        docstring(F.col("body"), None).alias("docstring"),
     )
 
 
@@ -209,10 +210,10 @@ def extract_classes(files: DataFrame) -> DataFrame:
         "node_type", "name",
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "language",
-        F.substring("text", 1, 500).alias("content"),
+        F.col("text").alias("content"),
         base_names(bases).alias("base_classes"),
         class_members(F.col("body")).alias("methods"),
-        docstring(F.col("body")).alias("docstring"),
+        docstring(F.col("body"), None).alias("docstring"),
     )
 
 

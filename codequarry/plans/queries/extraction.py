@@ -125,7 +125,7 @@ def function_rows(t: Inputs):
     return rows.select(
         "idx", "id", "name", *[F.col(c).cast("bigint") for c in ("line_start", "line_end", "column_start", "column_end")],
         F.array_join("parameters", ",").alias("parameters"), "is_async", "is_method",
-        F.col("complexity").cast("bigint"), F.md5("content").alias("content"),
+        F.col("complexity").cast("bigint"), F.md5(F.substring("content", 1, 500)).alias("content"),
     )
 
 
@@ -163,7 +163,7 @@ def function_calls(t: Inputs):
         FROM spans""",
 )
 def docstrings(t: Inputs):
-    both = [f(t.b_source).select("idx", "name", "docstring") for f in (extract.extract_functions, extract.extract_classes)]
+    both = [f(t.b_source).select("idx", "name", F.substring("docstring", 1, 200).alias("docstring")) for f in (extract.extract_functions, extract.extract_classes)]
     return both[0].union(both[1])
 
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from codequarry.operators import extract
+from codequarry.operators import extract, graph
 
 SAMPLE = '''
 def hello_world(name: str) -> str:
@@ -104,3 +104,13 @@ def test_batches(spark):
     df = spark.createDataFrame([(i, "t" * 9000) for i in range(250)], "id int, text string")
     got = extract.assign_batches(df, ["id"]).select("id", "batch", F.length("text")).collect()
     assert all(r[1] == r[0] // 100 and r[2] == 8000 for r in got)
+
+
+def test_entities_hold_whole_texts(spark, rows):
+    note, steps = "n" * 300 + " end of note", "".join(f"        step_{i} = {i}\n" for i in range(60))
+    code = f'class A:\n    """{note}"""\n    def f(self):\n        """{note}"""\n{steps}        return late_term\n'
+    functions, classes = extract.extract_functions(table(spark, code)), extract.extract_classes(table(spark, code))
+    for found in (functions, classes):
+        (row,) = found.collect()
+        assert row["docstring"] == note and row["content"].rstrip().endswith("return late_term")
+    assert rows(graph.contains_lookup(functions, "none such", "late_term"), "name") == [("f",)]
