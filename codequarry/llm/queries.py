@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, hnsw, lines, mixing, quality, secrets, simhash, tokens, toxicity, warc
+from codequarry.llm import audit, decontaminate, hnsw, lines, mixing, quality, secrets, simhash, threshold, tokens, toxicity, warc, whiten
 from codequarry.llm.common import remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,6 +81,18 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.top_rows(_table(spark, folder, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whitened(_table(spark, folder, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,8 +103,53 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_tokens, op3_near_vectors, op4_quality, op5_simhash, op6_mixing, op7_fuzzy_lines, op8_decontamination, op9_toxicity,
-        op10_warc, pipeline,
+        op10_warc, op11_topk, op12_whitening, op13_filter_audit, pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op11_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents
+        ), w AS (
+            SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d
+        ), l AS (
+            SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+        ), f AS (
+            SELECT part, CAST(len(words) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INTEGER)
+                + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INTEGER)
+                + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(w.doc_id > least, false) AS INTEGER) AS fails,
+                coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+            FROM w LEFT JOIN l USING (doc_id)
+        ), n AS (
+            SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit), orders AS (
+            SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+            WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+        ), steps AS (
+            SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+        ), counted AS (
+            SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (fails & bit > 0 AND fails & before = 0), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (fails & bit > 0 AND fails & before > 0), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (fails = bit), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(good) FILTER (fails & bit > 0 AND fails & before = 0), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(toxic) FILTER (fails & bit > 0 AND fails & before = 0), 0) AS BIGINT) AS toxic_lost
+            FROM n, steps GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM counted""",
+}
