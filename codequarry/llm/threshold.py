@@ -4,18 +4,18 @@ Components of a vector become whole numbers floor(256 c), and an inner product i
 components.  A node holds one slice of a block of vectors and, for a block of queries, the parts of their products:
 score lists that are never written whole.
 
-1. Each list gives its best entries and its least part.  The candidates found are scored exactly, and the k-th best
-   score of a query is a sure lower bound of what it looks for.
-2. Parts are counted from the least of their list, so that none is negative.  A vector whose parts all stay below
-   bound / slices cannot reach the bound, so this cutoff is sent to the lists, and each gives all entries that reach it.  With missing
-   parts set to the least or to the cutoff, every entry has a lower and an upper bound, and those below the k-th lower one go.
+1. Each list gives its best entries, its mean and its least part.  The candidates found are scored exactly, and the k-th
+   best score of a query is a sure lower bound of what it looks for.
+2. Parts are counted from the mean of their list.  A vector whose parts all stay below bound / slices cannot reach the
+   bound, so this cutoff is sent to the lists, and each gives all entries that reach it.  With missing parts set to the least or
+   to the cutoff, every entry has a lower and an upper bound, and those below the k-th lower one go.
 3. The entries left fetch the parts they miss, and the best k are taken.
 
 Equal vectors are one entry with its first k + 1 rows, so copies do not multiply entries.  Vectors go to blocks by hash; a
 task meets one block of queries with one of vectors.
 
 Rows: a vector that is NULL or holds NULL or non-finite components takes no part, nor does one whose
-squared length in whole numbers is 2^62 or more, since its scores need not fit a long.  Only vectors of one length
+squared length in whole numbers is 2^60 or more, since sums of its scores need not fit a long.  Only vectors of one length
 have an inner product; empty ones score 0 with each other.  A row without vec_id is a candidate, last among ties, and
 no query.  Rows that share a vec_id are rows of their own; a query leaves itself out once.  An empty table gives no rows.
 """
@@ -33,6 +33,8 @@ from codequarry.session import materialize
 
 SCALE = 256
 SLICES = 2  # lists that a score is the sum of
+FIRST = 6  # times as many entries of each list as are wanted go into the bound
+LARGEST = 2.0**60  # squared length of a vector
 VECTORS, QUERIES = 8_192, 512  # of a block
 HELD = 1 << 21  # parts of products held by a task at a time
 EXACT = 2.0**53
@@ -45,7 +47,7 @@ def _scaled(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("c"))
     fine = F.forall("c", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**31 / SCALE))
     square = F.aggregate("c", F.lit(0.0), lambda total, v: total + F.pow(F.floor(v * SCALE).cast("double"), F.lit(2.0)))
-    return rows.where(F.coalesce(fine & (square < 2.0**62), F.lit(False))).select("vec_id", F.transform("c", lambda v: F.floor(v * SCALE)).alias("x"))
+    return rows.where(F.coalesce(fine & (square < LARGEST), F.lit(False))).select("vec_id", F.transform("c", lambda v: F.floor(v * SCALE)).alias("x"))
 
 
 def _asks(every: int) -> Column:
@@ -97,21 +99,22 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, n
 
 
 def _best_entries(k: int):
-    """Phase 1 on a node: of each query the least part and the best ``k`` entries."""
+    """Phase 1 on a node: of each query the best ``k`` entries, the least and the mean part."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         asked, entry = queries["entry"].to_numpy(), vectors["entry"].to_numpy()
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         if len(asked) and len(entry):
             many = min(k, len(entry))
             for start, parts in _products(_rows(queries), _rows(vectors)):
                 top = np.argpartition(-parts, many - 1, axis=1)[:, :many]
                 of = asked[start : start + len(parts)]
-                found = (np.repeat(of, many), entry[top].reshape(-1), np.take_along_axis(parts, top, 1).reshape(-1), np.repeat(parts.min(axis=1), many))
+                listed = (parts.min(axis=1), parts.mean(axis=1).astype(np.int64))
+                found = (np.repeat(of, many), entry[top].reshape(-1), np.take_along_axis(parts, top, 1).reshape(-1), *(np.repeat(v, many) for v in listed))
                 for column, values in zip(out, found, strict=True):
                     column.append(values)
         where = queries if len(asked) else vectors
-        return _told(where, ["query", "entry", "part", "least"], out)
+        return _told(where, ["query", "entry", "part", "least", "mean"], out)
 
     return run
 
@@ -166,20 +169,23 @@ def top_rows(vectors: DataFrame, k: int = 5, every: int = 50, slices: int = SLIC
     wanted = k + 1  # a query may find itself
 
     # phase 1: the best of each list, and what the k-th best of them scores in full
-    best = materialize(_meet(asked, held, _best_entries(wanted), ["query", "entry", "part", "least"]), "best")
-    least = materialize(best.groupBy("query", "slice").agg(F.min("least").alias("least")), "least")
+    best = _meet(asked, held, _best_entries(FIRST * wanted), ["query", "entry", "part", "least", "mean"])
+    best = materialize(best, "best")
+    lists = best.groupBy("query", "slice").agg(F.min("least").alias("least"), F.floor(F.avg("mean")).alias("mean"))
+    lists = materialize(lists, "lists")
     of_list = Window.partitionBy("query", "slice").orderBy(F.desc("part"), "entry")
-    first = best.withColumn("nth", F.row_number().over(of_list)).where(F.col("nth") <= wanted).select("query", "entry").distinct()
+    first = best.withColumn("nth", F.row_number().over(of_list)).where(F.col("nth") <= FIRST * wanted).select("query", "entry").distinct()
     every_slice = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     whole = _scored(first.select("*", every_slice), sliced).groupBy("query", "entry").agg(F.sum("part").alias("score"))
     of_query = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     # a query with fewer entries than it wants has no bound and takes all
     bound = whole.withColumn("nth", F.row_number().over(of_query)).where(F.col("nth") == wanted).select("query", F.col("score").alias("bound"))
-    floor = least.groupBy("query").agg(F.sum("least").alias("floor"))
-    limits = least.join(floor, "query").join(bound, "query", "left")
-    # the least whole number that is no smaller than least + (bound - floor) / slices
-    share = F.expr(f"(bound - floor + {slices - 1}) div {slices}")
-    limits = materialize(limits.select("query", "slice", "least", F.coalesce(F.col("least") + share, F.col("least")).alias("cutoff"), "bound"), "limits")
+    means = lists.groupBy("query").agg(F.sum("mean").alias("means"))
+    limits = lists.join(means, "query").join(bound, "query", "left").withColumn("over", F.col("bound") - F.col("means"))
+    # the least whole number that is no smaller than mean + over / slices
+    share = F.expr(f"over div {slices} + IF(over % {slices} > 0, 1, 0)")
+    limits = limits.select("query", "slice", "least", F.coalesce(F.col("mean") + share, F.col("least")).alias("cutoff"), "bound")
+    limits = materialize(limits, "limits")
 
     # phase 2: all entries that reach the cutoff in some list, with bounds of their scores
     armed = asked.join(limits.select(F.col("query").alias("entry"), "slice", "cutoff"), ["entry", "slice"]).select(*NODE, "entry", "part", "cutoff")

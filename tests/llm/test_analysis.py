@@ -26,7 +26,7 @@ def best_rows(rows, k, every):
     for i, v in rows:
         if v is not None and all(c is not None and math.isfinite(c) for c in v):
             x = [math.floor(256 * c) for c in v]
-            if sum(c * c for c in x) < 2**62:
+            if sum(c * c for c in x) < threshold.LARGEST:
                 held.append((i, x))
     out = []
     for n, (q, x) in enumerate(held):
@@ -54,7 +54,7 @@ def test_top_rows(spark, monkeypatch, slices):
 def test_top_rows_odd(spark):
     rows = [
         (0, [1, 2]), (0, [1, 2]), (0, [2, 1]), (50, [0, 0]), (51, [-1, -1]), (None, [3, 3]), (None, [3, 3]), (52, [math.nan, 1]), (100, [None, 1]),
-        (150, None), (200, []), (201, []), (250, [1e200, 0]), (53, [math.inf, 1]), (300, [1, 2, 3]), (54, [5e6, 5e6]), (350, [-7, 0.001]),
+        (150, None), (200, []), (201, []), (250, [1e200, 0]), (53, [math.inf, 1]), (300, [1, 2, 3]), (54, [5e6, 5e6]), (55, [4e6, 1]), (400, [-4e6, 1]), (450, [4e6, 0]), (350, [-7, 0.001]),
     ]
     assert found_rows(threshold.top_rows(vectors(spark, rows), 5, 50)) == best_rows(rows, 5, 50)
     assert found_rows(threshold.top_rows(vectors(spark, rows), 1, 50)) == best_rows(rows, 1, 50)
