@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import slices, texts
-from codequarry.session import materialize
+from codequarry.session import materialize, spread
 
 FILTERS = "ABCDE"
 RANGE_BITS = 16  # ids of a range
@@ -60,9 +60,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.mapInArrow(run, f"doc_id {kind}, part string, fails int, digest binary")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "judged")
     least, most = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
-    copied = rows.where("doc_id IS NOT NULL").groupBy("digest").agg(least, most).where("most > least").select("digest", "least")
+    # written, so that both sides of the joins below are plain shuffles, whose hot keys are split at run time
+    copied = materialize(rows.where("doc_id IS NOT NULL").groupBy("digest").agg(least, most).where("most > least").select("digest", "least"), "copied")
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of"))
     marks = marks.agg(F.max(F.col("quality").eqNullSafe(1)).alias("good"), F.max(F.col("toxic").eqNullSafe(1)).alias("toxic"))
+    marks = materialize(marks, "marks")
     rows = rows.join(copied, "digest", "left").join(marks, F.col("doc_id") == F.col("of"), "left")
     again = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).cast("int") * 16
     never = F.lit(False)
@@ -179,7 +181,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     orders_with = F.element_at(F.array(*(F.lit(math.factorial(k) * math.factorial(n - 1 - k)) for k in range(n))), ahead + 1)
     alone = F.col("before") == F.expr(f"{everything} - shiftleft(1, filter)")
     of_filter = Window.partitionBy("part", "filter")
-    found = sizes(lists).select(
+    found = sizes(spread(lists)).select(
         "*",
         F.max(F.when(F.col("before") == 0, F.col("removed"))).over(of_filter).alias("failing"),
         F.max(F.when(alone, F.col("removed"))).over(of_filter).alias("unique_fails"),
