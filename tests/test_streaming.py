@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import sessions
+from codequarry.sources.tables import KeyedTable, upsert
 from codequarry.streaming import sessions as live
 
 START = dt.datetime(2024, 1, 1)
@@ -130,6 +131,89 @@ def test_live_attempts_over_batches(spark, tmp_path, rows):
     assert got == [(1, "completed"), (2, "error"), (3, "timeout"), (4, "timeout")]
 
 
+def test_attempts_and_what_is_set_aside(spark, tmp_path, rows):
+    """Batches end with a restart; ends without a start, late starts and events after the outcome are kept apart."""
+    folder, root = str(tmp_path / "attempts"), str(tmp_path / "state")
+    at = lambda seconds: START + dt.timedelta(seconds=seconds)
+    blocks = [
+        [(1, "start", at(0)), (2, "end", at(5)), (3, "start", at(10)), (9, None, at(10)), (9, "start", None)],
+        [(1, "end", at(100)), (4, "start", at(300)), (5, "end", at(290)), (3, "error", at(60)), (3, "end", at(60))],
+        [(1, "end", at(120)), (5, "start", at(280)), (6, "start", at(600))],  # the clock passes the end of 2
+        [(2, "start", at(1)), (4, "end", at(800)), (7, "start", at(900)), (8, "start", at(20))],  # 4 is timed out by now
+    ]
+    for block in blocks:
+        spark.createDataFrame(block, "attempt_id bigint, kind string, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+        source = live.read_events(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+        live.attempt_timeouts(source, root=root)
+    outcomes = live.of_kind(spark, root, live._attempt_schema("bigint"), "outcome")
+    assert rows(outcomes, "attempt_id", "status", "duration_seconds") == [
+        (1, "completed", 100.0), (3, "error", 50.0), (4, "timeout", 480.0), (5, "completed", 10.0), (8, "timeout", 480.0)]
+    assert rows(live.attempts_aside(spark, root), "attempt_id", "reason", "event") == [
+        (1, "after the outcome", "end"), (2, "after the outcome", "start"), (2, "no start", "end"), (9, "unreadable", "start"), (9, "unreadable", None)]
+
+
+def disordered(spark, folder, blocks):
+    schema = "session_id bigint, event_id bigint, ts timestamp, status string"
+    for block in blocks:
+        rows = [(s, i, START + dt.timedelta(seconds=t), status) for s, i, t, status in block]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        yield live.read_events(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+
+
+def test_log_and_moves_go_on_after_a_restart(spark, tmp_path, rows):
+    folder, log, moves = (str(tmp_path / name) for name in ("events", "log", "moves"))
+    rng = random.Random(4)
+    blocks = [[(rng.randrange(4), part * 50 + i, part * 100 + rng.randrange(100), rng.choice(sessions.STATUS_ORDER)) for i in range(50)] for part in range(3)]
+    for source in disordered(spark, folder, blocks):
+        live.session_log(source, ORDER, root=log)
+        live.status_moves(source, ORDER, root=moves)
+    all_events = spark.read.parquet(folder)
+    got = live.session_log(source, ORDER, root=log)
+    assert rows(got, "session_id", "event_id", "seq") == rows(sessions.session_log(all_events, ORDER), "session_id", "event_id", "seq")
+    columns = ["session_id", "event_id", "status", "before", "legal"]
+    got = live.status_moves(source, ORDER, root=moves)
+    assert rows(got, *columns) == rows(sessions.status_moves(all_events, ORDER), *columns)
+    illegal = live.of_kind(spark, moves, got.schema, "illegal")
+    assert rows(illegal, "event_id") == rows(got.where("NOT legal"), "event_id")
+
+
+def test_late_events_are_set_aside_or_waited_for(spark, tmp_path, rows):
+    blocks = [[(1, 1, 10, "a"), (1, 2, 50, "a"), (2, 3, 20, "a")], [(1, 4, 30, "a"), (2, 5, 25, "a"), (1, 6, 60, "a")], [(3, 7, 500, "a")]]
+    for lateness, want, late in ((0, {1: 0, 2: 1, 6: 2, 3: 0, 5: 1, 7: 0}, {4}), (100, {1: 0, 4: 1, 2: 2, 6: 3, 3: 0, 5: 1}, set())):
+        folder, root = str(tmp_path / f"events{lateness}"), str(tmp_path / f"log{lateness}")
+        for source in disordered(spark, folder, blocks):
+            got = live.session_log(source, ORDER, root=root, lateness=lateness)
+        assert {r["event_id"]: r["seq"] for r in got.collect()} == want
+        assert {r["event_id"] for r in live.of_kind(spark, root, got.schema, "late").collect()} == late
+
+
+def test_keyed_table_leaves_other_buckets_alone(spark, tmp_path, rows):
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+
+    start = spark.createDataFrame([(i, f"t{i}", i) for i in range(500)], "id bigint, title string, n bigint")
+    table = KeyedTable(spark, str(tmp_path / "table"), start.schema, ["id"], buckets=16)
+    assert not table.exists() and table.read().count() == 0
+    table.create(start)
+    before = files()
+    assert len({f.split("key_bucket=")[1].split("/")[0] for f in before}) == 16
+    batch = spark.createDataFrame([(7, None, None, 2), (7, "old", 1, 1), (1000, "new", None, 1)], "id bigint, title string, n bigint, at int")
+    table.upsert(batch, ["at"], keep_if_null=["title"])
+    want = sorted([(i, f"t{i}", None if i == 7 else i) for i in range(500)] + [(1000, "new", None)], key=repr)
+    assert rows(table.read()) == want
+    touched = {r[0] for r in table._bucketed(batch).select("key_bucket").collect()}
+    after = files()
+    kept = {f: t for f, t in before.items() if int(f.split("key_bucket=")[1].split("/")[0]) not in touched}
+    assert 1 <= len(touched) <= 2 and len(kept) >= 14 and kept.items() <= after.items()
+    table.upsert(batch, ["at"], keep_if_null=["title"])  # again: the same rows
+    assert rows(table.read()) == want
+    now = files()
+    table.upsert(start.where("id < 9").withColumn("title", F.lit("x")), insert_only=True)
+    assert files() == now
+    pure = upsert(start, batch, ["id"], ["at"], ["title"])
+    assert rows(table.read()) == rows(pure)
+
+
 def test_attached_sources(spark, rows):
     df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "b", 3), (2, "z", 1)], "session_id int, source string, n int")
     assert rows(sessions.attached_sources(df, ["n"])) == [(1, 1, "b"), (1, 2, "a"), (2, 1, "z")]
