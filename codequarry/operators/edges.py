@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import paths
 from codequarry.functions.ranking import first_per_key, top_n
+from codequarry.session import materialize
 
 LOAD_ORDER = ["file_path", "line_start", "id"]
+GRAMS = 5  # characters by which a piece of a path is looked up
+HUB_BLOCK = 4096  # callers, or members, of a hub that meet in one task
 
 # Call scopes with their edge types and priorities.
 CALL_SCOPES = {
@@ -144,35 +147,41 @@ def _substrings(path: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(per_length))
 
 
+def contained(pieces: DataFrame, paths_: DataFrame, grams: int = GRAMS) -> DataFrame:
+    """(scope, piece, path) where ``path`` contains ``piece`` within a scope; ``pieces(scope, piece)``, ``paths_(scope, path)``.
+
+    A piece is filed under its rarest run of ``grams`` characters among the paths of its scope, shorter ones under the whole piece; a
+    path looks up its own runs, and what meets is verified.  A piece with a run that no path has meets none.  ``pieces`` is
+    read several times.
+    """
+    pieces = pieces.where(F.col("piece").isNotNull()).distinct()
+    sized = F.least(F.length("piece"), F.lit(grams))
+    # lengths of the runs that are looked up, ``grams`` + 1 of them at most
+    lengths = F.array(*(F.lit(r[0]) for r in pieces.select(sized).distinct().collect())).cast("array<int>")
+    offered = paths_.distinct().join(pieces.select("scope").distinct(), "scope", "left_semi")
+    offered = offered.select("scope", "path", F.explode(_substrings(F.col("path"), lengths)).alias("run"))
+    counts = offered.groupBy("scope", "run").agg(F.count(F.lit(1)).alias("many"))
+    filed = pieces.withColumn("run", F.explode(_substrings(F.col("piece"), F.array(sized))))
+    rarest = F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "run")).alias("rarest")
+    keyed = filed.join(counts, ["scope", "run"], "left").groupBy("scope", "piece").agg(rarest).where("rarest.many > 0")
+    met = offered.join(keyed.select("scope", "piece", F.col("rarest.run").alias("run")), ["scope", "run"])
+    return met.where(F.contains("path", F.col("piece"))).select("scope", "piece", "path")
+
+
 def import_targets(imports: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities meant by ``from module import item``, once per (module, item).
 
     A target is named like the item, and its path contains the module as a
-    path or ends with ``module.py``.  The substring test is an equality join:
-    an entity offers the substrings of its path that are as long as some module
-    its name is imported from.
+    path or ends with ``module.py``.
     """
-    wanted = imports.where(F.col("module").isNotNull()).select("module", "item").distinct()
-    pattern = F.replace("module", F.lit("."), F.lit("/"))
-    ending = F.concat(F.col("module"), F.lit(".py"))
-    keyed = wanted.select("module", "item", F.inline(F.array(
-        F.struct(F.lit("inside").alias("how"), pattern.alias("piece")),
-        F.struct(F.lit("ending").alias("how"), ending.alias("piece")),
-    )))
-    # distinct lengths per name: at most the longest module name
-    lengths = keyed.groupBy("item").agg(
-        F.collect_set(F.when(F.col("how") == "inside", F.length("piece"))).alias("inside"),
-        F.collect_set(F.when(F.col("how") == "ending", F.length("piece"))).alias("ending"),
-    )
-    offered = entities.select("id", F.col("name").alias("item"), "node_type", "file_path").join(lengths, "item")
-    path = F.col("file_path")
-    tails = F.transform(F.filter("ending", lambda n: n <= F.length(path)), lambda n: F.substr(path, F.length(path) - n + 1, n))
-    pieces = F.concat(
-        F.transform(_substrings(path, F.col("inside")), lambda p: F.struct(F.lit("inside").alias("how"), p.alias("piece"))),
-        F.transform(tails, lambda p: F.struct(F.lit("ending").alias("how"), p.alias("piece"))),
-    )
-    exploded = offered.select("id", "item", "node_type", F.inline(pieces))
-    return exploded.join(keyed, ["item", "how", "piece"]).select("module", "item", "id", "node_type").distinct()
+    wanted = materialize(imports.where(F.col("module").isNotNull()).select("module", "item").distinct(), "wanted")
+    pattern, ending = F.replace("module", F.lit("."), F.lit("/")), F.concat("module", F.lit(".py"))
+    keyed = wanted.select("module", F.col("item").alias("scope"), F.inline(F.array(
+        F.struct(F.lit(False).alias("last"), pattern.alias("piece")), F.struct(F.lit(True).alias("last"), ending.alias("piece")))))
+    named = entities.select("id", F.col("name").alias("scope"), "node_type", F.col("file_path").alias("path"))
+    met = contained(keyed.select("scope", "piece"), named.select("scope", "path"))
+    found = keyed.join(met, ["scope", "piece"]).where(~F.col("last") | F.endswith("path", F.col("piece"))).select("scope", "module", "path").distinct()
+    return found.join(named, ["scope", "path"]).select("module", F.col("scope").alias("item"), "id", "node_type").distinct()
 
 
 def resolves_from_import(imports: DataFrame, targets: DataFrame) -> DataFrame:
@@ -184,13 +193,12 @@ def resolves_from_import(imports: DataFrame, targets: DataFrame) -> DataFrame:
 
 def module_targets(imports: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities meant by ``import module``: named like their ``.py`` file, path containing the module."""
-    wanted = imports.where(F.col("module").isNotNull()).select("module").distinct()
+    anywhere, path = F.lit(0).alias("scope"), F.col("file_path").alias("path")
+    wanted = materialize(imports.where(F.col("module").isNotNull()).select("module").distinct(), "wanted")
     wanted = wanted.withColumn("piece", F.replace("module", F.lit("."), F.lit("/")))
-    lengths = wanted.agg(F.collect_set(F.length("piece")).alias("lengths")).scalar()
     mains = entities.where(F.endswith("file_path", F.lit(".py")) & (F.col("name") == paths.stem(F.col("file_path"))))
-    mains = mains.select("id", "node_type", "file_path", lengths.alias("lengths"))
-    offered = mains.select("id", "node_type", F.explode(_substrings(F.col("file_path"), F.col("lengths"))).alias("piece"))
-    return offered.join(wanted, "piece").select("module", "id", "node_type").distinct()
+    met = contained(wanted.select(anywhere, "piece"), mains.select(anywhere, path))
+    return wanted.join(met, "piece").join(mains.select("id", "node_type", path), "path").select("module", "id", "node_type").distinct()
 
 
 def import_groups(imports: DataFrame) -> DataFrame:
@@ -261,10 +269,28 @@ def _by_scope(field: int) -> Column:
     return value
 
 
-def expand_calls(sites: DataFrame, members: DataFrame) -> DataFrame:
-    """Single call edges of ``sites``: one row per caller and possible function."""
-    hub = members.select("scope", "owner", F.col("name").alias("called_name"), F.col("function_id").alias("dst"))
-    joined = sites.join(hub, ["scope", "owner", "called_name"])
+def expand_calls(sites: DataFrame, members: DataFrame, block: int = HUB_BLOCK) -> DataFrame:
+    """Single call edges of ``sites``: one row per caller and possible function.
+
+    A hub with more than ``block`` callers or members is cut into blocks on both sides, and block meets block, so a name
+    that everyone calls is many join keys of ``block`` callers and members each.
+    """
+    hub = ["scope", "owner", "called_name"]
+    meant = members.select("scope", "owner", F.col("name").alias("called_name"), F.col("function_id").alias("dst"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*hub).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    # written, so that the joins below have plain shuffles on both sides, whose hot keys are split at run time
+    large = blocks(sites, "rows").join(blocks(meant, "columns"), hub).where("rows > 1 OR columns > 1")
+    large = materialize(large, "large-hubs")
+
+    def dealt(rows: DataFrame, own: str, key: str, other: str) -> DataFrame:
+        rows = rows.join(large, hub, "left").fillna(1, ["rows", "columns"])
+        rows = rows.withColumn(f"{own}_block", F.pmod(F.xxhash64(F.lit(11), key), F.col(own)))
+        return rows.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - F.lit(1).cast("bigint")))).drop("rows", "columns")
+
+    joined = dealt(sites, "rows", "caller_id", "columns").join(dealt(meant, "columns", "dst", "rows"), [*hub, "rows_block", "columns_block"])
     return joined.where((F.col("scope") == "imported") | (F.col("dst") != F.col("caller_id"))).select(
         F.col("caller_id").alias("src"), "type", "dst", "called_name", F.col("scope").alias("resolution_type"), "priority"
     )

@@ -8,7 +8,7 @@ indents runs in an Arrow batch function over integer arrays.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,31 +41,51 @@ def strip(col: Column) -> Column:
 INTS = T.ArrayType(T.IntegerType())
 
 
-@F.pandas_udf(T.StructType().add("ends", INTS).add("openers", INTS))
-def block_spans(indents: pd.Series) -> pd.DataFrame:
+def _next_smaller(values: np.ndarray) -> np.ndarray:
+    """For each position the next one with a smaller value, or the size; all at once.
+
+    A pointer jumps to where the position it points at points.  What lies under such jumps has falling values, so there are
+    about as many rounds as a block is nested deep.
+    """
+    size = len(values)
+    ahead = np.arange(1, size + 1)
+    below = np.append(values, values.min(initial=0) - 1)  # the end is smaller than all
+    going = np.flatnonzero(below[ahead] >= values)
+    while len(going):
+        ahead[going] = ahead[ahead[going]]
+        going = going[below[ahead[going]] >= values[going]]
+    return ahead
+
+
+@F.arrow_udf(T.StructType().add("ends", INTS).add("openers", INTS))
+def block_spans(indents: pa.Array) -> pa.Array:
     """Last line of the block each line starts, and the line that opens its surrounding block.
 
     A block ends at the last non-blank line before the next one that is not
     indented deeper.  Blank lines carry indent -1 and get 0.
     """
-    all_ends, all_openers = [], []
-    for row in indents:
-        ends, openers = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
-        open_lines: list[int] = []
-        last = 0
-        for i, indent in enumerate(row):
-            if indent < 0:
-                continue
-            while open_lines and row[open_lines[-1]] >= indent:
-                ends[open_lines.pop()] = last
-            openers[i] = open_lines[-1] + 1 if open_lines else 0
-            open_lines.append(i)
-            last = i + 1
-        for i in open_lines:
-            ends[i] = last
-        all_ends.append(ends)
-        all_openers.append(openers)
-    return pd.DataFrame({"ends": all_ends, "openers": all_openers})
+    offsets = indents.offsets.to_numpy().astype(np.int64)
+    values = indents.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+    offsets = offsets - offsets[0]
+    file = np.repeat(np.arange(len(indents)), np.diff(offsets))
+    at = np.flatnonzero(values >= 0)
+    # the non-blank lines of all files, each file closed by a border that is indented less than any line
+    line = at - offsets[file[at]] + 1
+    borders = np.searchsorted(file[at], np.arange(len(indents)), side="right")
+    indent, number = np.insert(values[at], borders, -1), np.insert(line, borders, 0)
+    real = number > 0
+    smaller = _next_smaller(indent)
+    same = np.full(len(indent), len(indent))
+    order = np.argsort(indent, kind="stable")
+    equal = indent[order[1:]] == indent[order[:-1]]
+    same[order[:-1][equal]] = order[1:][equal]
+    after = np.minimum(smaller, same)[real]
+    opener = len(indent) - 1 - _next_smaller(indent[::-1])[::-1][real]
+    ends, openers = np.zeros(len(values), np.int32), np.zeros(len(values), np.int32)
+    ends[at] = number[after - 1]
+    openers[at] = np.where(opener >= 0, number[opener], 0)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)) for flat in (ends, openers)]
+    return pa.StructArray.from_arrays(lists, ["ends", "openers"])
 
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:

@@ -94,7 +94,8 @@ def session_log(t: Inputs):
 
 @query("live_session_log", LOG)
 def live_session_log(t: Inputs):
-    return live.session_log(_events(t, _stream(t, "events")), ["ts", "event_id"]).select("session_id", "event_id", "seq")
+    events = _events(t, _stream(t, "events")).select("session_id", "event_id", "ts")
+    return live.session_log(events, ["ts", "event_id"]).select("session_id", "event_id", "seq")
 
 
 @query("log_tail", f"SELECT l.* FROM ({LOG}) l JOIN customer ON c_custkey = session_id WHERE seq > c_nationkey * 2")

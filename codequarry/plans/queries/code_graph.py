@@ -205,11 +205,11 @@ def call_hub_members(t: Inputs):
 @query(
     "scoped_call_edges",
     f"""WITH {CALL_EDGES} SELECT caller_id AS src, {TYPES} AS type, dst, called_name, scope AS resolution_type, CAST({PRIORITIES} AS BIGINT) AS priority
-        FROM call_edges WHERE scope <> 'global'""",
+        FROM call_edges""",
 )
 def scoped_call_edges(t: Inputs):
     members = _members(t)
-    return edges.expand_calls(_sites(t, members).where("scope <> 'global'"), members)
+    return edges.expand_calls(materialize(_sites(t, members), "sites"), members)
 
 
 def _group_sql(view: str, key: str) -> str:

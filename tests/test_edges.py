@@ -242,3 +242,35 @@ def test_load_stats_counts_distinct(spark, rows):
     nodes = spark.createDataFrame([("F", "1", True), ("F", "1", True), ("F", "2", False), ("F", None, False)], "label string, id string, has_embedding boolean")
     links = spark.createDataFrame([("1", "T", "2"), ("1", "T", "2"), ("2", "T", None)], "src string, type string, dst string")
     assert rows(edges.load_stats(nodes, links)) == [("edge", "T", 2, 0, 1), ("node", "F", 2, 1, 1)]
+
+
+@pytest.mark.parametrize("grams", [1, 3, 5])
+def test_contained_like_brute_force(spark, rows, grams):
+    rng = random.Random(grams)
+    word = lambda n: "".join(rng.choice("abé/") for _ in range(rng.randrange(n)))
+    pieces = [(rng.randrange(3), word(9)) for _ in range(120)] + [(0, ""), (1, None), (None, "a"), (9, "a")]
+    paths = [(rng.randrange(3), word(14)) for _ in range(150)] + [(0, None), (None, "ab"), (8, "ab")]
+    got = edges.contained(spark.createDataFrame(pieces, "scope int, piece string"), spark.createDataFrame(paths, "scope int, path string"), grams)
+    want = {(s, piece, path) for s, piece in pieces for z, path in paths if s is not None and s == z and piece is not None and path is not None and piece in path}
+    assert rows(got, "scope", "piece", "path") == sorted(want, key=repr)
+
+
+def test_contained_meets_few_that_do_not_contain(spark, monkeypatch):
+    """Paths that share their folders: what is verified is a small multiple of what is found."""
+    paths = [(0, f"src/main/python/company/service{i % 50}/module{i}.py") for i in range(3000)]
+    pieces = [(0, f"company/service{i % 50}/module{i}") for i in range(0, 3000, 7)] + [(0, f"company/service{i}/none") for i in range(50)]
+    pieces, paths = spark.createDataFrame(pieces, "scope int, piece string"), spark.createDataFrame(paths, "scope int, path string")
+    found = edges.contained(pieces, paths).count()
+    monkeypatch.setattr(edges.F, "contains", lambda path, piece: F.lit(True))
+    assert found > 400 and edges.contained(pieces, paths).count() < 20 * found
+
+
+def test_large_hubs_are_cut_into_blocks(spark, rows):
+    """A name that 300 functions have and 200 call, in blocks of 7."""
+    sites = [(f"c{i}", "run", "global", "", 300, "CALLS_GLOBAL", 4) for i in range(200)] + [("c1", "one", "global", "", 1, "CALLS_GLOBAL", 4)]
+    members = [(f"f{i}", "global", "", "run") for i in range(299)] + [("c3", "global", "", "run"), ("f0", "global", "", "one"), ("f1", "local", "p", "run")]
+    s = spark.createDataFrame(sites, "caller_id string, called_name string, scope string, owner string, n_targets long, type string, priority long")
+    m = spark.createDataFrame(members, "function_id string, scope string, owner string, name string")
+    want = [(c[0], "CALLS_GLOBAL", f[0], c[1]) for c in sites for f in members if f[1] == "global" and f[3] == c[1] and f[0] != c[0]]
+    for block in (7, 4096):
+        assert rows(edges.expand_calls(s, m, block), "src", "type", "dst", "called_name") == sorted(want, key=repr)

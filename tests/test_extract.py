@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from codequarry.operators import extract, graph
@@ -114,3 +116,27 @@ def test_entities_hold_whole_texts(spark, rows):
         (row,) = found.collect()
         assert row["docstring"] == note and row["content"].rstrip().endswith("return late_term")
     assert rows(graph.contains_lookup(functions, "none such", "late_term"), "name") == [("f",)]
+
+
+def spans_by_stack(indents):
+    ends, openers, open_lines, last = [0] * len(indents), [0] * len(indents), [], 0
+    for i, indent in enumerate(indents):
+        if indent < 0:
+            continue
+        while open_lines and indents[open_lines[-1]] >= indent:
+            ends[open_lines.pop()] = last
+        openers[i] = open_lines[-1] + 1 if open_lines else 0
+        open_lines.append(i)
+        last = i + 1
+    for i in open_lines:
+        ends[i] = last
+    return ends, openers
+
+
+def test_block_spans_like_a_stack(spark):
+    rng = random.Random(8)
+    files = [[rng.choice([-1, 0, 1, 2, 2, 4, 4, 8, 40]) for _ in range(rng.randrange(60))] for _ in range(200)]
+    files += [[], [-1, -1], [3], list(range(300)), list(range(300, 0, -1)), [0] + [4] * 5000 + [0], [5, 3, 5, 3, 0, 3, 5]]
+    df = spark.createDataFrame(list(enumerate(files)), "n int, indents array<int>").repartition(3)
+    for r in df.select("indents", extract.block_spans("indents").alias("s")).collect():
+        assert (r["s"]["ends"], r["s"]["openers"]) == spans_by_stack(r["indents"])
