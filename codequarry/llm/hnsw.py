@@ -1,10 +1,12 @@
 """Near-duplicate vectors: hierarchical navigable small-world graphs per shard.
 
 Vectors are compared within a label.  Equal vectors are one node with a multiplicity; the nodes of
-a label are dealt into shards by a hash, each shard has a graph, and every node searches every
+a label are dealt into shards by a hash, each shard has a graph, built once, and every node searches every
 shard of its label.  A search keeps a beam; the beam is widened for queries whose beam ends
 within the threshold, and for all queries until an audit, brute force over a sample of them, finds
-the wanted share of links.  Links are verified in double precision.
+the wanted share of links.  The sample grows until it has seen enough links that are not to the query itself.
+Queries whose beam still ends within the threshold after widening lie in a dense group: their links are
+counted and joined by products with blocks of the shard, and never listed.  Links are verified in double precision.
 
 Rows: vectors that are NULL, empty, zero or hold NULL or non-finite components, and rows with a
 NULL label or vec_id, link with nothing; they are their own component.  Rows that share a vec_id are
@@ -13,6 +15,9 @@ the same node for components, and each counts as a link of the other if both hav
 
 from __future__ import annotations
 
+import io
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +31,11 @@ SHARD = 8192  # nodes of a graph
 DEGREE = 12  # links of a new node; twice as many on the lowest level
 BEAM = 48  # while building, and at first while searching
 BATCH = 128  # nodes inserted, or queries answered, at a time
-AUDIT = 64  # queries compared with brute force
+DENSE = 192  # widest beam of a query; nodes with more links than that are counted by products
+AUDIT, AUDIT_MOST = 64, 2048  # queries compared with brute force, at first and at most
+SEEN = 64  # links that an audit looks for
 RECALL = 0.995
+PRODUCTS = 1 << 20  # products held at a time
 
 
 class Graph:
@@ -43,6 +51,20 @@ class Graph:
         for start in range(0, n, BATCH):
             self._insert(np.arange(start, min(n, start + BATCH)))
 
+    def stored(self) -> bytes:
+        """The graph without its vectors."""
+        out = io.BytesIO()
+        np.savez(out, level=self.level, entry=self.entry, **{f"links{at}": links for at, links in enumerate(self.links)})
+        return out.getvalue()
+
+    @classmethod
+    def read(cls, vectors: np.ndarray, stored: bytes) -> Graph:
+        """The graph ``stored`` over the vectors that it was built from, in the same order."""
+        graph, held = cls.__new__(cls), np.load(io.BytesIO(stored))
+        graph.v, graph.level, graph.entry = vectors.astype(np.float32), held["level"], int(held["entry"])
+        graph.links = [held[f"links{at}"] for at in range(len(held.files) - 2)]
+        return graph
+
     # -- search ----------------------------------------------------------------------------------
 
     def _beams(self, q: np.ndarray, entry: np.ndarray, beam: int, at: int, low: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +119,13 @@ class Graph:
             entry = self._beams(q, entry, 4, at)[0][:, :1]
         return entry
 
-    def near(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the nodes found with a similarity of ``least`` or more.
+    def near(self, q: np.ndarray, least: float, beam: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the nodes found with a similarity of ``least`` or more, and whether there are too many to list.
 
-        A beam that ends within ``least`` may have cut nodes off, so it is widened.
+        A beam that ends within ``least`` may have cut nodes off, so it is widened, up to ``DENSE``.
         """
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        dense = np.zeros(len(q), bool)
         todo, n = np.arange(len(q)), len(self.v)
         while len(todo):
             beam = min(beam, n)
@@ -117,8 +140,11 @@ class Graph:
                 if beam < n:
                     again.append(some[inside[:, -1]])
             todo = np.concatenate(again) if again else np.zeros(0, np.int64)
-            beam *= 4
-        return found
+            if beam >= DENSE:
+                dense[todo] = True
+                break
+            beam = min(beam * 4, DENSE)
+        return found, dense
 
     # -- building --------------------------------------------------------------------------------
 
@@ -192,46 +218,88 @@ class Graph:
             links[nodes[full]] = self._choose(nodes[full], cand[full], sims[full], room)
 
 
-def _links(graph: Graph, q: np.ndarray, least: float, seed: int) -> list[np.ndarray]:
-    """For each query its nodes, the beam being widened until an audit finds enough of them."""
+def _links(graph: Graph, q: np.ndarray, least: float, seed: int, itself: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query its nodes, and whether they are too many to list; the beam is widened until an audit finds enough.
+
+    ``itself`` says that every query is a node, which the audit does not count.
+    """
     unit32 = q.astype(np.float32)
     soft = least - 1e-5  # single precision may fall short; links are verified afterwards
-    audited = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
-    exact = unit32[audited] @ graph.v.T >= soft
+    order, size = np.random.default_rng(seed).permutation(len(q)), AUDIT
+    while True:
+        audited = order[:size]
+        exact = np.concatenate([(unit32[part] @ graph.v.T >= soft).sum(axis=1) for part in np.array_split(audited, -(-len(audited) // BATCH))]) - itself
+        if exact.sum() >= SEEN or size >= min(len(q), AUDIT_MOST):
+            break
+        size *= 4
     beam, n = BEAM, len(graph.v)
     while True:
-        found = graph.near(unit32[audited], soft, beam)
-        hit = sum(len(f) for f in found)
+        found, dense = graph.near(unit32[audited], soft, beam)
+        hit = sum(int(e) if d else max(0, len(f) - itself) for e, f, d in zip(exact, found, dense, strict=True))
         if beam >= n or hit >= RECALL * exact.sum():
             break
         beam *= 2
     return graph.near(unit32, soft, beam)
 
 
-def _linked(left: np.ndarray, right: np.ndarray | None, least: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of positions of two shards, or within one, found from either side."""
-    if not len(left) or right is not None and not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    a = unit(left)
-    if right is None:
-        hits = _links(Graph(a), a, least, seed)
-        x, y = np.repeat(np.arange(len(a)), [len(h) for h in hits]), np.concatenate(hits)
-        x, y, b = np.minimum(x, y), np.maximum(x, y), a
-        keep = x < y
-        x, y = x[keep], y[keep]
-    else:
-        b = unit(right)
-        there, back = _links(Graph(b), a, least, seed), _links(Graph(a), b, least, seed)
-        x = np.concatenate([np.repeat(np.arange(len(a)), [len(h) for h in there]), *back]).astype(np.int64)
-        y = np.concatenate([*there, np.repeat(np.arange(len(b)), [len(h) for h in back])]).astype(np.int64)
-    key = np.unique(x * len(b) + y)
-    x, y = key // len(b), key % len(b)
-    near = np.concatenate([np.einsum("ij,ij->i", a[x[s : s + 65536]], b[y[s : s + 65536]]) >= least for s in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-    return x[near], y[near]
+class Side(NamedTuple):
+    """The unit vectors of a shard, how many rows each stands for, and their graph."""
+
+    unit: np.ndarray
+    rows: np.ndarray
+    graph: Graph
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _counted(left: Side, right: Side | None, least: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes of two shards, or of one, the number of rows linked to each and the least position joined to it."""
+    alone = right is None
+    right = left if alone else right
+    n, m = len(left.unit), len(right.unit)
+    from_right = 0 if alone else n  # position of the right side's first node
+    size = n if alone else n + m
+    links, root = np.zeros(size, np.int64), np.arange(size)
+    if not n or not m:
+        return links, root
+    there, dense = _links(right.graph, left.unit, least, seed, alone)
+    back, dense_right = ([], dense) if alone else _links(left.graph, right.unit, least, seed, False)
+
+    # links between nodes of few links, found from either side
+    x = np.concatenate([np.repeat(np.arange(n), [len(h) for h in there]), *back]).astype(np.int64)
+    y = np.concatenate([*there, np.repeat(np.arange(len(back)), [len(h) for h in back])]).astype(np.int64)
+    if alone:
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        x, y = x[x < y], y[x < y]
+    few = ~dense[x] & ~dense_right[y]
+    key = np.unique(x[few] * m + y[few])
+    x, y = key // m, key % m
+    near = [np.einsum("ij,ij->i", left.unit[x[s : s + 65536]], right.unit[y[s : s + 65536]]) >= least for s in range(0, len(x), 65536)]
+    near = np.concatenate(near) if near else np.zeros(0, bool)
+    x, y = x[near], y[near]
+    np.add.at(links, x, right.rows[y])
+    np.add.at(links, from_right + y, left.rows[x])
+    root = roots(size, x, from_right + y, root)
+
+    # nodes of many links against all of the other side
+    sides = [(left, right, 0, from_right, dense, dense_right)]
+    if not alone:
+        sides.append((right, left, from_right, 0, dense_right, dense))
+    for one, other, first, other_first, many, other_many in sides:
+        queries, rest = np.flatnonzero(many), np.flatnonzero(~other_many)
+        step = max(1, PRODUCTS // len(other.unit))
+        for start in range(0, len(queries), step):
+            some = queries[start : start + step]
+            near = one.unit[some] @ other.unit.T >= least
+            if alone:
+                near[np.arange(len(some)), some] = False
+            links[first + some] += near @ other.rows
+            links[other_first + rest] += one.rows[some] @ near[:, rest]
+            at, to = np.nonzero(near)
+            root = roots(size, first + some[at], other_first + to, root)
+    return links, root
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98, shard: int = SHARD) -> DataFrame:
@@ -250,37 +318,63 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, shard: int = SHARD) ->
     nodes = materialize(nodes, "nodes")
     sizes = nodes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards")).withColumnRenamed("label", "of")
     dealt = nodes.join(sizes, F.col("label") == F.col("of")).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "h1"), F.col("shards")).cast("int"))
-    # a pair of shards is one task, in which either searches the other's graph
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    pairs = pairs.select(
-        "label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "h1", "h2", "node", "rows", "embedding"
-    )
+    # written, so that what follows is dealt by shard and by pair of shards, not by label
+    dealt = materialize(dealt.select("label", "shards", "own", "h1", "h2", "node", "rows", "embedding"), "dealt")
+    kind = vectors.schema["label"].dataType.simpleString()
 
-    def search(table: pa.Table) -> pa.Table:
-        own, node, count = (table[c].to_numpy() for c in ("own", "node", "rows"))
-        first, second = table["a"][0].as_py(), table["b"][0].as_py()
+    def lengths_of(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Rows and vectors by length, in one order everywhere; vectors of different lengths have no cosine."""
+        if not table.num_rows:
+            return {}
         flat = table["embedding"].combine_chunks()
         lengths = flat.value_lengths().to_numpy()
-        order = np.lexsort((node, lengths))
-        parts = []
-        for size in np.unique(lengths):  # vectors of different lengths have no cosine
+        order = np.lexsort([*(table[c].to_numpy() for c in ("h2", "h1", "node")), lengths])
+        found = {}
+        for size in np.unique(lengths):
             at = order[lengths[order] == size]
-            values = flat.take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
-            if first == second:
-                x, y = _linked(values, None, least, 11)
-            else:
-                left, right = np.flatnonzero(own[at] == first), np.flatnonzero(own[at] == second)
-                x, y = _linked(values[left], values[right], least, 11)
-                x, y = left[x], right[y]
-            links = np.bincount(x, count[at][y], len(at)) + np.bincount(y, count[at][x], len(at))
-            root = roots(len(at), x, y)
+            found[int(size)] = at, _unit(flat.take(pa.array(at)).flatten().to_numpy().reshape(-1, size))
+        return found
+
+    def build(table: pa.Table) -> pa.Table:
+        built = {size: Graph(unit).stored() for size, (_, unit) in lengths_of(table).items()}
+        first = table.select(["label", "own"]).slice(0, 1).take(pa.array(np.zeros(len(built), np.int64)))
+        return first.append_column("size", pa.array(list(built), pa.int32())).append_column("graph", pa.array(list(built.values()), pa.binary()))
+
+    graphs = dealt.groupBy("label", "own").applyInArrow(build, f"label {kind}, own int, size int, graph binary")
+    graphs = materialize(graphs, "graphs")
+
+    # a pair of shards is one task, in which either searches the other's graph
+    def paired(rows: DataFrame) -> DataFrame:
+        every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        return every.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("shards", "other")
+
+    def search(table: pa.Table, built: pa.Table) -> pa.Table:
+        first, second = table["a"][0].as_py(), table["b"][0].as_py()
+        graph = {(g["own"], g["size"]): g["graph"] for g in built.select(["own", "size", "graph"]).to_pylist()}
+        own = table["own"].to_numpy()
+        sides = {}
+        for shard in {first, second}:
+            here = np.flatnonzero(own == shard)
+            for size, (at, unit) in lengths_of(table.take(pa.array(here))).items():
+                rows = here[at]
+                sides[shard, size] = rows, Side(unit, table["rows"].to_numpy()[rows], Graph.read(unit, graph[shard, size]))
+        node, parts = table["node"].to_numpy(), []
+        for size in sorted({size for _, size in sides}):
+            held = [sides[shard, size] for shard in sorted({first, second}) if (shard, size) in sides]
+            if first != second and len(held) < 2:
+                continue
+            rows = np.concatenate([at for at, _ in held])
+            links, root = _counted(held[0][1], held[1][1] if len(held) > 1 else None, least, 11)
             told = np.flatnonzero(links > 0)  # those without links have nothing to tell
-            rows = table.select(["label", "h1", "h2", "node"]).take(pa.array(at[told]))
-            parts.append(rows.append_column("links", pa.array(links[told].astype(np.int64))).append_column("root", pa.array(node[at][root[told]])))
-        return pa.concat_tables(parts)
+            some = table.select(["label", "h1", "h2", "node"]).take(pa.array(rows[told]))
+            parts.append(some.append_column("links", pa.array(links[told])).append_column("root", pa.array(node[rows[root[told]]])))
+        empty = table.select(["label", "h1", "h2", "node"]).slice(0, 0).append_column("links", pa.array([], pa.int64()))
+        return pa.concat_tables([empty.append_column("root", pa.array([], pa.int64())), *parts])
 
-    kind = vectors.schema["label"].dataType.simpleString()
-    told = pairs.groupBy("label", "a", "b").applyInArrow(search, f"label {kind}, h1 bigint, h2 bigint, node bigint, links bigint, root bigint")
+    shards = dealt.select("label", "own", "shards").distinct()
+    pairs = paired(dealt).groupBy("label", "a", "b")
+    stored = paired(graphs.join(shards, ["label", "own"])).groupBy("label", "a", "b")
+    told = pairs.cogroup(stored).applyInArrow(search, f"label {kind}, h1 bigint, h2 bigint, node bigint, links bigint, root bigint")
     told = materialize(told, "links")
     many = told.groupBy("label", "h1", "h2").agg(F.sum("links").alias("links"))
     found = connected_components(told.select(F.col("node").alias("src"), F.col("root").alias("dst")))

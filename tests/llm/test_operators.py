@@ -174,8 +174,36 @@ def test_graph_recall():
     v = dice.standard_normal((3000, 24))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     exact = v @ v.T >= 0.7
-    found = hnsw._links(hnsw.Graph(v), v, 0.7, 1)
-    assert sum(len(f) for f in found) >= 0.95 * exact.sum()
+    found, dense = hnsw._links(hnsw.Graph.read(v, hnsw.Graph(v).stored()), v, 0.7, 1)
+    assert not dense.any() and sum(len(f) for f in found) >= 0.95 * exact.sum()
+
+
+def near_rows(spark, v, **options):
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    return {r[0]: (r[1], r[2]) for r in hnsw.near_vectors(rows, **options).collect()}
+
+
+def test_groups_of_two_over_many_shards(spark):
+    """One label in 20 shards: a vector's only partner is mostly in another shard."""
+    dice = np.random.default_rng(8)
+    base = dice.standard_normal((1000, 24)).astype(np.float32)
+    got = near_rows(spark, np.concatenate([base, base + 0.02 * dice.standard_normal(base.shape).astype(np.float32)]), shard=100)
+    assert sum(got[i] == (1, i % 1000) for i in range(2000)) >= 0.995 * 2000
+
+
+def test_dense_group(spark):
+    """4,000 near copies, all linked with all, and a few that are linked with some of them."""
+    dice = np.random.default_rng(9)
+    centre = dice.standard_normal(32)
+    v = (centre + 0.02 * dice.standard_normal((4000, 32))).astype(np.float32)
+    v = np.concatenate([v, (centre + 0.19 * dice.standard_normal((60, 32))).astype(np.float32), dice.standard_normal((200, 32)).astype(np.float32)])
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert 0 < near[4000:4060, :4000].sum() < 60 * 4000
+    want = {i: (int(near[i].sum()), 0 if near[i].any() else i) for i in range(len(v))}
+    assert near_rows(spark, v) == want
+    assert near_rows(spark, v, shard=1500) == want
 
 
 # ---- classifiers -----------------------------------------------------------------------------
