@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -35,6 +36,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def own_name() -> str:
+    """A column name that no table of others has."""
+    return f"own_{uuid.uuid4().hex}"
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of an id's decimal text modulo ``divisor``; NULL ids give -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))

@@ -7,8 +7,8 @@ one of them is certain.  What is left of each task's documents goes on to the ne
 reduction tree, so a source's words miss its target by less than one document's size.
 
 Rows: NULL and empty texts have size 0 and are taken 0 words.  NULL sources are one source, the
-last.  Rows that agree in doc_id, source and size are rounded as one, so they share their fate.
-Sources without words have target 0.
+last.  Of rows that agree in doc_id, source and size those that are due for certain are taken, and the fraction of one row
+is rounded; which of them are taken once more goes by their texts.  Sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import WORD
+from codequarry.functions.ranking import positions
+from codequarry.llm.common import WORD, own_name
 from codequarry.session import materialize
 
 MOST = 3  # times a document may be taken
@@ -129,9 +130,10 @@ def copies(units: DataFrame, fan: int = FAN, seed: int = 1) -> DataFrame:
 
 
 def mix(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times) of every row.
+    """(doc_id, source, size, source_size, target, times, rows): how often the mix takes a document, at most ``most``.
 
-    ``times`` is how often the mix takes the document, at most ``most``.
+    ``rows`` is how many rows that agree in doc_id, source and size are taken so; they have two lines where some of them
+    are taken once more than others.
     """
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
     units = materialize(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
@@ -140,16 +142,27 @@ def mix(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, s
     joined = units.join(F.broadcast(wanted) if _few(wanted) else wanted, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     whole = F.least(F.floor(ratio + NEAR_ONE), F.lit(most)).cast("int")
-    joined = joined.withColumn("whole", whole).withColumn("wants", F.greatest(F.lit(0.0), ratio - F.col("whole")))
+    joined = joined.withColumn("whole", whole).withColumn("due", F.greatest(F.lit(0.0), ratio - F.col("whole")) * F.col("rows"))
+    # of the rows that are due once more the whole number is certain, and a fraction of one row is left
+    joined = joined.withColumn("certain", F.least(F.floor(F.col("due") + NEAR_ONE), F.col("rows")))
     joined = joined.withColumns({
-        "group": F.col("source"), "key": F.struct("doc_id", "size"),
-        "mass": (F.col("size") * F.col("rows")).cast("double"),
+        "group": F.col("source"), "key": F.struct("doc_id", "size"), "mass": F.col("size").cast("double"),
+        "wants": F.greatest(F.lit(0.0), F.col("due") - F.col("certain")),
     })
     open_ = (F.col("mass") > 0) & (F.col("wants") > 0)
-    rounded = copies(joined.where(open_), seed=seed).withColumn("times", F.col("whole") + F.col("extra"))
-    plain = joined.where(~open_).withColumn("times", F.when(F.col("mass") > 0, F.col("whole")).otherwise(F.least(F.lit(1), F.col("whole"))))
-    names = ["doc_id", "source", "size", "source_size", "target", "times", "rows"]
-    return rounded.select(*names).unionByName(plain.select(*names))
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    rounded = copies(joined.where(open_), seed=seed).select(*names, "whole", "rows", (F.col("certain") + F.col("extra")).alias("more"))
+    plain = joined.where(~open_).select(
+        *names, F.when(F.col("mass") > 0, F.col("whole")).otherwise(F.least(F.lit(1), F.col("whole"))).alias("whole"), "rows",
+        F.when(F.col("mass") > 0, F.col("certain")).otherwise(0).alias("more"),
+    )
+    settled = rounded.unionByName(plain)
+    taken = F.array(
+        F.struct((F.col("whole") + 1).alias("times"), F.col("more").cast("bigint").alias("rows")),
+        F.struct(F.col("whole").alias("times"), (F.col("rows") - F.col("more")).cast("bigint").alias("rows")),
+    )
+    told = settled.select(*names, F.explode(F.filter(taken, lambda t: t["rows"] > 0)).alias("taken"))
+    return told.select(*names, "taken.times", "taken.rows")
 
 
 def _few(wanted: DataFrame, most: int = 10_000) -> bool:
@@ -159,9 +172,27 @@ def _few(wanted: DataFrame, most: int = 10_000) -> bool:
 
 def mixed(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    found = mix(docs, most, weights, seed).where("times > 0")
-    times = found.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__of"), F.col("size").alias("__words"), F.col("times").alias("__times"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__words"))
-    joined = docs.withColumn("__size", size_of(F.col("text"))).join(times, same)
-    again = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
-    return again.select(*docs.columns)
+    found = mix(docs, most, weights, seed)
+    own = {name: own_name() for name in ("doc_id", "source", "size", "least", "more", "words", "row", "nth", "times")}
+    times = found.groupBy("doc_id", "source", "size").agg(
+        F.min("times").alias(own["least"]), F.max(F.struct("times", F.when(F.col("times") > 0, F.col("rows")).alias("rows"))).alias(own["more"]),
+        F.count(F.lit(1)).alias(own["row"]),
+    )
+    times = times.withColumnsRenamed({name: own[name] for name in ("doc_id", "source", "size")})
+    # written, so that both sides of the join are plain shuffles, whose hot keys are split at run time
+    times = materialize(times.where(F.col(own["more"])["times"] > 0), "times")
+    same = F.col("doc_id").eqNullSafe(F.col(own["doc_id"])) & F.col("source").eqNullSafe(F.col(own["source"])) & (F.col(own["words"]) == F.col(own["size"]))
+    joined = docs.withColumn(own["words"], size_of(F.col("text"))).join(times, same)
+    alike = F.col(own["row"]) == 1
+
+    def again(rows: DataFrame, count: Column) -> DataFrame:
+        return rows.withColumn(own["times"], F.explode(F.array_repeat(F.lit(1), count.cast("int")))).select(*docs.columns)
+
+    several = materialize(joined.where(~alike).withColumn(own["row"], F.monotonically_increasing_id()), "alike")
+    settled = again(joined.where(alike), F.col(own["least"]))
+    if several.isEmpty():
+        return settled
+    # of the rows that agree the first by their texts are taken once more
+    numbered = positions(several, [own["doc_id"], own["source"], own["size"]], [F.xxhash64("text"), F.col("text"), F.col(own["row"])], own["nth"])
+    once_more = (F.col(own["nth"]) <= F.col(own["more"])["rows"]).cast("int")
+    return settled.unionByName(again(numbered, F.col(own["least"]) + once_more))
