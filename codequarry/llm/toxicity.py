@@ -2,7 +2,7 @@
 
 Folding lower-cases, replaces look-alike letters and accented ones by the ASCII letter that they
 resemble, reads digits and signs inside a word as letters, and writes l as i, which 1, ! and | also
-stand for.  The lexicon and its weights are learned from labelled documents: words that occur in
+stand for.  A word that ends in digits or signs is read without them, and as letters to its end.  The lexicon and its weights are learned from labelled documents: words that occur in
 toxic documents, in ever new surroundings, far more often than in others.  Phrases in which such a
 word is mostly harmless are learned as exceptions, and more can be given.
 
@@ -17,9 +17,11 @@ import math
 import re
 import unicodedata
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -53,6 +55,7 @@ class _Folding(dict):
 
 _FOLDING = _Folding((c, chr(c)) for c in range(128))
 _SIGNS = re.compile(r"[0-9@$!|]+")
+_ENDINGS = re.compile(r"(?<![a-z0-9@$!|])[a-z0-9@$!|]*[a-z][a-z0-9@$!|]*[0-9@$!|](?![a-z0-9@$!|])")
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A and b != 0x6C else 0x69 if b == 0x6C else 0x20 for b in range(256))
 
 
@@ -76,6 +79,20 @@ def folded_words(text: str) -> list[str]:
     return text.encode("ascii", "replace").translate(_LETTERS).decode("ascii").split()
 
 
+def ending_in_signs(text: str) -> Iterator[str]:
+    """The other reading of words that end in digits or signs: as letters to the end.
+
+    A single digit after letters is read so already.
+    """
+    text = text.lower()
+    if not text.isascii():
+        text = text.translate(_FOLDING)
+    for match in _ENDINGS.finditer(text):
+        word = match.group()
+        if not (word[-1].isdigit() and word[:-1].isalpha()):
+            yield "".join(DIGITS.get(c, c) for c in word).replace("l", "i")
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights of folded words, exception phrases, and the curve from evidence to score."""
@@ -103,14 +120,21 @@ class Lexicon:
         if not len(self.automaton) or not words:
             return 0.0
         hits = [(end - size, end, weight) for end, (size, weight) in self.automaton.iter(f" {' '.join(words)} ")]
-        spared = [(a, b) for a, b, w in hits if w == 0.0]
+        spared = sorted((a, b) for a, b, w in hits if w == 0.0)
         if not spared:
             return sum(w for _, _, w in hits)
-        return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in spared))
+        # of the exceptions that begin no later than a hit, the one that reaches furthest tells
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        total = 0.0
+        for a, b, weight in hits:
+            before = bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                total += weight
+        return total
 
     def features(self, text: str) -> tuple[float, float]:
         words = folded_words(text)
-        total = self.evidence(words)
+        total = self.evidence(words) + sum(self.model.weights.get(w, 0.0) for w in ending_in_signs(text))
         return math.log1p(total), math.log1p(100 * total / max(1, len(words)))
 
     def score(self, text: str) -> float:
