@@ -20,6 +20,7 @@ exists.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -49,8 +50,8 @@ _HEAD, _HEAD_BYTES = "<4sIIIII", 24
 class WordMemo:
     """Encodes texts by their words, each word by the tokenizers library and remembered.
 
-    For tokenizers that lower-case, drop white space and split at it, so that a text's ids are
-    those of its words.  Arrow lower-cases and splits a batch and finds its distinct words; a word
+    For tokenizers that lower-case, drop white space and split at it by ``PATTERN``, so that a text's ids are
+    those of its words; whether a file is one is read from its settings, and any other tokenizer gets whole texts.  Arrow lower-cases and splits a batch and finds its distinct words; a word
     of plain letters, digits and marks is cut into the runs that the tokenizer's own pattern makes
     of it, which go to its model; other words go through the whole tokenizer, and so do texts with
     special tokens or with characters beyond U+00FF.  Words are kept in two generations of at most
@@ -61,9 +62,26 @@ class WordMemo:
     MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, which some tokenizers treat apart
     LOWER = "a-zß-öø-ÿ"
 
+    # The settings of tokenizers that encode word by word.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        told = json.loads(file)
+        self.by_words = (
+            (told.get("normalizer") or {}).get("normalizers") == self.NORMALIZER
+            and (told.get("pre_tokenizer") or {}).get("pretokenizers") == self.SPLIT
+            and told.get("post_processor") is None
+            and not told["model"].get("dropout")
+            and all(t["content"].startswith("<|") for t in told.get("added_tokens") or [])
+        )
         self.whole = re.compile(f"[{self.LOWER}0-9{self.MARKS}]+").fullmatch
         self.runs = re.compile(f"[{self.LOWER}]+|[0-9]|[{self.MARKS}]+").findall
         self.letters = _byte_letters()
@@ -120,6 +138,8 @@ class WordMemo:
     def encode(self, column: pa.Array) -> list[bytes]:
         """The ids of each text, NULL as empty, as little-endian unsigned integers of ``kind``."""
         column = pc.fill_null(column, "")
+        if not self.by_words:
+            return self._all(column.to_pylist())
         whole = pc.or_(pc.match_substring(column, "<|"), pc.match_substring_regex(column, r"[^\x{00}-\x{ff}]"))
         mixed = pc.match_substring_regex(column, f"[^ \nA-ZÀ-ÖØ-Þ0-9{self.LOWER}{self.MARKS}]")
         way = np.where(whole.to_numpy(zero_copy_only=False), 2, np.where(mixed.to_numpy(zero_copy_only=False), 1, 0))
