@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import kept_in_worker, slices
+from codequarry.llm.common import kept_in_worker, own_name, slices
 from codequarry.session import materialize
 
 WINDOW = 10
@@ -106,17 +106,17 @@ _FOUND_TYPE = pa.struct([
 ])
 
 
-def _scanned(docs: DataFrame, carried: list[str], shared, last: bool) -> DataFrame:
+def _scanned(docs: DataFrame, carried: list[str], shared, last: bool, hits_name: str, found_name: str) -> DataFrame:
     """``carried`` columns with the hits so far or, after the last portion, with what was found."""
     key = uuid.uuid4().hex
-    name, kind, arrow = ("__found", _FOUND, _FOUND_TYPE) if last else ("__hits", _HITS, _HITS_TYPE)
+    name, kind, arrow = (found_name, _FOUND, _FOUND_TYPE) if last else (hits_name, _HITS, _HITS_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = kept_in_worker("benchmark", key, lambda: Matcher(shared.value))
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                for text, before in zip(part.column("text").to_pylist(), part.column("__hits").to_pylist(), strict=True):
+                for text, before in zip(part.column("text").to_pylist(), part.column(hits_name).to_pylist(), strict=True):
                     raw = (text or "").encode()
                     folded, starts, ends = word_spans(raw)
                     words = [w for w in folded.decode().split(" ") if w]
@@ -138,12 +138,13 @@ def _scanned(docs: DataFrame, carried: list[str], shared, last: bool) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, carried: list[str], length: int, most: int) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, carried: list[str], length: int, most: int, name: str) -> DataFrame:
     portions = _portions(windows(benchmark, length), most)
-    state = docs.select(*dict.fromkeys([*carried, "text"]), F.array().cast(_HITS).alias("__hits"))
+    hits = own_name()
+    state = docs.select(*dict.fromkeys([*carried, "text"]), F.array().cast(_HITS).alias(hits))
     for n, shared in enumerate(portions):
         last = n + 1 == len(portions)
-        state = _scanned(state, carried if last else list(dict.fromkeys([*carried, "text"])), shared, last)
+        state = _scanned(state, carried if last else list(dict.fromkeys([*carried, "text"])), shared, last, hits, name)
         state = state if last else materialize(state, "hits")
     return state
 
@@ -154,9 +155,11 @@ def spans(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, most: int
     ``spans`` are (start, end) in characters of the original text, ends exclusive, of the runs of
     hit words; ``items`` the sorted ids of the items of which a window occurs.
     """
-    return _found(docs, benchmark, ["doc_id"], length, most).select("doc_id", "__found.*")
+    found = own_name()
+    return _found(docs, benchmark, ["doc_id"], length, most, found).select("doc_id", f"{found}.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, most: int = AUTOMATON_CHARS) -> DataFrame:
     """The rows in which no window of the benchmark occurs, with all their columns."""
-    return _found(docs, benchmark, docs.columns, length, most).where("__found.n_hit = 0").drop("__found")
+    found = own_name()
+    return _found(docs, benchmark, docs.columns, length, most, found).where(F.col(found)["n_hit"] == 0).drop(found)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import labelled_sample, slices
+from codequarry.llm.common import labelled_sample, own_name, slices
 
 PASSAGE = 1024
 SAMPLE = 8_000  # labelled documents learned from, at most
@@ -190,22 +190,23 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, rows: int = SAMPLE,
     return model
 
 
-def _with_score(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
+def _with_score(docs: DataFrame, model: Model, carried: list[str], name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 score = model.score(*encode_passages(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(score, pa.float64())], [*carried, "__score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(score, pa.float64())], [*carried, name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, f"{schema}, __score double")
+    return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, f"{schema}, {name} double")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; the score is the chance of label 1."""
-    return _with_score(docs, model, ["doc_id"]).withColumnRenamed("__score", "score")
+    return _with_score(docs, model, ["doc_id"], "score")
 
 
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows with a score of ``least`` or more, with all their columns."""
-    return _with_score(docs, model, docs.columns).where(F.col("__score") >= least).drop("__score")
+    score = own_name()
+    return _with_score(docs, model, docs.columns, score).where(F.col(score) >= least).drop(score)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import roots, slices, texts
+from codequarry.llm.common import own_name, roots, slices, texts
 from codequarry.llm.components import connected_components
 from codequarry.session import materialize
 
@@ -230,15 +230,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int
 
 
 def first_of_each(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42) -> DataFrame:
-    """The documents without near-duplicates: of each component one row.
+    """The documents (with a column ``source``) without near-duplicates: of each component one row.
 
     It is the first by doc_id (NULL last), source, text hash and a number given to the row, whatever
     ids its component shares with others.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    row = own_name()
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
     rows = materialize(rows, "numbered")
-    named = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "source", F.xxhash64("text").alias("hash"), "__row").alias("doc_id"), "text")
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "source", F.xxhash64("text").alias("hash"), F.col(row).alias("row")).alias("doc_id"), "text")
     prints = materialize(fingerprints(named, words, seed), "fingerprints")
     placed = _placed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), budget)
-    kept = placed.groupBy("component").agg(F.min("least").alias("first")).select(F.col("first.__row").alias("__kept"))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    kept = placed.groupBy("component").agg(F.min("least").alias("first")).select(F.col("first.row").alias("kept"))
+    kept = kept.withColumnRenamed("kept", kept_row := own_name())
+    return rows.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)

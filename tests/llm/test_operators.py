@@ -540,3 +540,71 @@ def test_archive(spark):
             else:
                 assert fields[b"Content-Length"] == b"0" and body == b"\r\n\r\n"
     assert warc.read_records(spark, warc.write_archive(table.limit(0))).count() == 0
+
+
+# ---- rows that agree, names that clash, other settings ------------------------------------------
+
+
+def test_mix_of_rows_that_agree(spark):
+    """A third of the rows share a NULL id: the source still comes near its target."""
+    texts = ["a b c"] * 1000 + [f"x{i} " * (1 + i % 7) for i in range(600)]
+    rows = [(None if i < 1000 else i, t, None, "a" if i % 4 else "b", None, "x", "y") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(table).collect()
+    assert sum(r["rows"] for r in got) == 1600
+    for source in ("a", "b"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["size"] * r["times"] * r["rows"] for r in own) - own[0]["target"]) <= 7
+    taken = mixing.mixed(table)
+    assert taken.count() == sum(r["times"] * r["rows"] for r in got)
+    words_taken = {s: sum(len(r["text"].split()) for r in taken.where(F.col("source") == s).collect()) for s in ("a", "b")}
+    assert all(abs(words_taken[r["source"]] - r["target"]) <= 7 for r in got)
+    alone = spark.createDataFrame([(None, "a b c d", None, "a", None, "x", "y")] * 1000 + [(1, "x " * 8000, None, "b", None, "x", "y")], DOCS)
+    got = [r for r in mixing.mix(alone).collect() if r["source"] == "a"]
+    assert abs(sum(4 * r["times"] * r["rows"] for r in got) - got[0]["target"]) <= 4
+
+
+def test_columns_of_any_name(spark):
+    table = docs(spark, [words(random.Random(i), 40) for i in range(12)]).withColumns({n: F.lit(8) for n in ("__size", "__row", "__hits", "__found", "__score", "__doc", "row", "times")})
+    bench = spark.createDataFrame([("q", "nothing of this occurs in any of the documents at all")], "item_id string, text string")
+    model = quality.fit(table, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
+    for kept in (mixing.mixed(table), simhash.first_of_each(table), decontaminate.clean(table, bench), quality.accepted(table, model, 0.0)):
+        assert kept.columns == table.columns and kept.count() >= 12
+        assert kept.select("__size", "__row", "__hits", "__score").distinct().collect() == [(8, 8, 8, 8)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer(name):
+    file = open(public_tokenizers.path(name)).read()
+    texts = ["", "Hello  World\n it's  1234!!", "Ünïcode straße x_y <|endoftext|> 日本", "a'b 'tis don't", "tab\tand\x0b space ", "l053 a$$"]
+    memo, plain = tokens.WordMemo(file), Tokenizer.from_str(file)
+    assert memo.by_words == name.startswith("word")
+    got = [np.frombuffer(ids, memo.kind).tolist() for ids in memo.encode(pa.array(texts))]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def evidence_by_hand(model, text):
+    """Weights of the lexicon's words outside exceptions, word by word, with the other reading of endings."""
+    found = toxicity.folded_words(text)
+    spared = set()
+    for phrase in model.exceptions:
+        parts = phrase.split()
+        for i in range(len(found) - len(parts) + 1):
+            if found[i : i + len(parts)] == parts:
+                spared |= set(range(i, i + len(parts)))
+    return sum(model.weights.get(w, 0) for i, w in enumerate(found) if i not in spared)
+
+
+def test_lexicon_like_brute_force():
+    model = toxicity.Model({"idiot": 2.0, "trash": 1.0, "scum": 3.0, "ioser": 1.5, "ass": 1.0}, ("trash can", "pond scum", "can scum"), (0.0, 1.0, 1.0))
+    lexicon, dice = toxicity.Lexicon(model), random.Random(10)
+    for _ in range(300):
+        text = " ".join(dice.choice(["trash", "can", "scum", "pond", "idiot", "l0ser", "iiot", "x"]) for _ in range(dice.randrange(30)))
+        assert lexicon.evidence(toxicity.folded_words(text)) == pytest.approx(evidence_by_hand(model, text))
+    long = "trash can scum idiot " * 60_000  # whole exceptions and hits in between
+    assert lexicon.evidence(toxicity.folded_words(long)) == pytest.approx(2.0 * 60_000)
+    clean, _ = lexicon.features("a plain text")
+    for text in ("idi07", "IDI0T", "a$$", "!d10t", "l053r", "idiot!!", "(idi07)"):
+        assert lexicon.features(text)[0] > clean, text
+    for text in ("trash can", "as", "$$", "2024", "id 107", "scum-free pond scum" [10:], "assist"):
+        assert lexicon.features(text)[0] == clean, text
