@@ -55,7 +55,8 @@ class _Folding(dict):
 
 _FOLDING = _Folding((c, chr(c)) for c in range(128))
 _SIGNS = re.compile(r"[0-9@$!|]+")
-_ENDINGS = re.compile(r"(?<![a-z0-9@$!|])[a-z0-9@$!|]*[a-z][a-z0-9@$!|]*[0-9@$!|](?![a-z0-9@$!|])")
+_ENDINGS = re.compile(r"[0-9@$!|]+(?![a-z0-9@$!|])")
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$!|")
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A and b != 0x6C else 0x69 if b == 0x6C else 0x20 for b in range(256))
 
 
@@ -70,27 +71,35 @@ def _read(match: re.Match) -> str:
     return run
 
 
-def folded_words(text: str) -> list[str]:
+def _plain(text: str) -> str:
+    """Lower case, with look-alikes as the letters they resemble."""
     text = text.lower()
-    if not text.isascii():
-        text = text.translate(_FOLDING)
-    if _SIGNS.search(text):
-        text = _SIGNS.sub(_read, text)
-    return text.encode("ascii", "replace").translate(_LETTERS).decode("ascii").split()
+    return text if text.isascii() else text.translate(_FOLDING)
+
 
+def _words(plain: str) -> list[str]:
+    if _SIGNS.search(plain):
+        plain = _SIGNS.sub(_read, plain)
+    return plain.encode("ascii", "replace").translate(_LETTERS).decode("ascii").split()
 
-def ending_in_signs(text: str) -> Iterator[str]:
+
+def folded_words(text: str) -> list[str]:
+    return _words(_plain(text))
+
+
+def _other_endings(plain: str) -> Iterator[str]:
     """The other reading of words that end in digits or signs: as letters to the end.
 
     A single digit after letters is read so already.
     """
-    text = text.lower()
-    if not text.isascii():
-        text = text.translate(_FOLDING)
-    for match in _ENDINGS.finditer(text):
-        word = match.group()
-        if not (word[-1].isdigit() and word[:-1].isalpha()):
-            yield "".join(DIGITS.get(c, c) for c in word).replace("l", "i")
+    for match in _ENDINGS.finditer(plain):
+        start, end = match.span()
+        if start and "a" <= plain[start - 1] <= "z":
+            while start and plain[start - 1] in _WORD:
+                start -= 1
+            word = plain[start:end]
+            if not (word[-1].isdigit() and word[:-1].isalpha()):
+                yield "".join(DIGITS.get(c, c) for c in word).replace("l", "i")
 
 
 @dataclass(frozen=True)
@@ -133,8 +142,9 @@ class Lexicon:
         return total
 
     def features(self, text: str) -> tuple[float, float]:
-        words = folded_words(text)
-        total = self.evidence(words) + sum(self.model.weights.get(w, 0.0) for w in ending_in_signs(text))
+        plain = _plain(text)
+        words = _words(plain)
+        total = self.evidence(words) + sum(self.model.weights.get(w, 0.0) for w in _other_endings(plain))
         return math.log1p(total), math.log1p(100 * total / max(1, len(words)))
 
     def score(self, text: str) -> float:
