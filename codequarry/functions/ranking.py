@@ -24,14 +24,16 @@ def first_per_key(df: DataFrame, by: list[str], order: list[Column | str], last:
     return picked.select(*by, *[F.col("row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows of each key with their rank.
+def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int | None, name: str = "rank") -> DataFrame:
+    """First ``n`` rows of each key with their rank; all rows where ``n`` is None.
 
     The rank filter lets Spark cut every key to ``n`` rows in each map task
     before the shuffle, so a hot key sends at most ``n`` rows per task.  Spark
     does so up to a threshold; larger ``n`` use ``positions``.
     """
     order = _cols(order)
+    if n is None:
+        return positions(df, by, order, name)
     if not by:
         df = df.orderBy(*order).limit(n)
     elif n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):

@@ -13,7 +13,7 @@ SITE_TERMS = [
     ("documentation", ["docs", "documentation", "api", "reference"]),
     ("tutorial", ["tutorial", "guide", "learn"]),
 ]
-LINKS_PER_SOURCE = 50
+LINKS_PER_SOURCE = 50  # what a cautious crawl takes of a site
 DROPPED_TAGS = ["script", "style", "nav", "header", "footer"]
 BLOCK_TAGS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|article|section|main|table|tr|td|th|blockquote|pre|body|html|br)\b[^>]*>"
 
@@ -56,13 +56,13 @@ def page_links(pages: DataFrame, scope: str | None = "nav") -> DataFrame:
     return resolved.where(F.startswith("link", F.lit("http"))).select("page_id", F.col("place").cast("bigint"), "link")
 
 
-def cap_per_source(links: DataFrame, by: list[str], order: list[str], n: int = LINKS_PER_SOURCE) -> DataFrame:
-    """The first ``n`` links of every source, in order."""
+def cap_per_source(links: DataFrame, by: list[str], order: list[str], n: int | None = None) -> DataFrame:
+    """The first ``n`` links of every source in order, all without ``n``."""
     return top_n(links, by, order, n, "place")
 
 
-def route_attempts(sites: DataFrame, attempts: DataFrame, links: DataFrame, cap: int = LINKS_PER_SOURCE) -> DataFrame:
-    """Link rows out of extraction attempts.
+def route_attempts(sites: DataFrame, attempts: DataFrame, links: DataFrame, cap: int | None = None) -> DataFrame:
+    """Link rows out of extraction attempts, the first ``cap`` of a site if given.
 
     Documentation sites give their links when completed, their main page after
     a timeout or error, nothing when completed without links; other sites give
@@ -75,7 +75,7 @@ def route_attempts(sites: DataFrame, attempts: DataFrame, links: DataFrame, cap:
         F.col("site_id"), url.alias("url"), title.alias("title"), F.col("title").alias("source"), kind.alias("type"),
         F.lit(priority).cast("bigint").alias("priority"), method.alias("extraction_method"),
     ]
-    capped = cap_per_source(links, ["site_id"], ["link_no"], cap)
+    capped = links if cap is None else cap_per_source(links, ["site_id"], ["link_no"], cap)
     done = docs.where(F.col("status") == "completed").join(capped, "site_id").select(
         *row(F.col("link"), paths.title_from_url(F.col("link")), F.lit("documentation"), 1, F.lit("browser-use-success")))
     failed = docs.where(F.col("status").isin("timeout", "error")).select(

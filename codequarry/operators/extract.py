@@ -361,17 +361,40 @@ def embedding_text(nodes: DataFrame) -> Column:
         labelled("purpose: ", "purpose"), labelled("domain: ", "domain"),
         labelled("technologies: ", "technologies", True), labelled("operations: ", "operations", True),
         labelled("", "docstring"), labelled("parameters: ", "parameters", True),
-        F.when(F.coalesce("content", blank) != "", F.substring("content", 1, 500)),
+        F.when(F.coalesce("content", blank) != "", F.col("content")),
         F.when(F.coalesce("file_path", blank) != "", F.concat(F.lit("file: "), near)),
     )
 
 
-def assign_batches(df: DataFrame, order: list[str], size: int = 100, by: list[str] = []) -> DataFrame:
-    """Request batches of ``size`` rows in ``order`` with texts cut to 8000 characters."""
-    numbered = positions(df, by, order, "__position")
-    return numbered.withColumn("batch", F.floor((F.col("__position") - 1) / size)).drop("__position").withColumn(
-        "text", F.substring("text", 1, 8000)
-    )
+def split_text(text: Column, most: int) -> Column:
+    """The text in parts of at most ``most`` characters that concatenate to it.
+
+    A part ends after the last line end that it can hold; a longer line is cut.  Empty texts are one empty part.
+    """
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{most}}}\z|.{{0,{most - 1}}}\n|.{{1,{most}}}"), F.lit(0))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(parts)
+
+
+def assign_batches(df: DataFrame, order: list[str], size: int = 100, by: list[str] = [], most: int = 8000) -> DataFrame:
+    """Request batches of ``size`` texts in ``order``; texts of more than ``most`` characters are several requests.
+
+    Adds ``part`` (from 0), ``start`` (of the part in the text, in characters) and ``batch``.
+    """
+    parts = df.withColumn("__parts", split_text(F.coalesce("text", F.lit("")), most))
+    before = F.transform("__parts", lambda _, i: F.aggregate(F.slice("__parts", F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)))
+    parts = parts.withColumn("__parts", F.arrays_zip(before.alias("start"), F.col("__parts").alias("text")))
+    rows = parts.select(*[c for c in df.columns if c != "text"], F.posexplode("__parts").alias("part", "__p"))
+    rows = rows.withColumns({"part": F.col("part").cast("bigint"), "start": F.col("__p.start").cast("bigint"), "text": F.col("__p.text")}).drop("__p")
+    numbered = positions(rows, by, [*order, "part"], "__position")
+    return numbered.withColumn("batch", F.floor((F.col("__position") - 1) / size)).drop("__position")
+
+
+def join_parts(parts: DataFrame, by: list[str], size: str, embedding: str = "embedding") -> DataFrame:
+    """One vector per key: the mean of its parts' vectors, weighted by ``size``; summed before the shuffle, component by component."""
+    rows = parts.select(*by, F.col(size).alias("__size"), F.posexplode(embedding).alias("__k", "__c"))
+    weighed = rows.groupBy(*by, "__k").agg((F.sum(F.col("__c").cast("double") * F.col("__size")) / F.sum("__size")).alias("__c"))
+    components = F.sort_array(F.collect_list(F.struct("__k", "__c")))
+    return weighed.groupBy(*by).agg(F.transform(components, lambda x: x["__c"]).alias(embedding))
 
 
 def embedding_coverage(df: DataFrame, column: str = "embedding") -> DataFrame:

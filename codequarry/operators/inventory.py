@@ -60,8 +60,8 @@ def application_processes(processes: DataFrame) -> DataFrame:
     return processes.where(is_application(F.col("command"), F.col("user")))
 
 
-def application_pids(processes: DataFrame, by: list[str], n: int = 15) -> DataFrame:
-    """The first ``n`` application processes per host."""
+def application_pids(processes: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """The first ``n`` application processes per host, all without ``n``."""
     return top_n(application_processes(processes), by, ["line_no"], n, "place").select(*by, "place", "pid")
 
 
@@ -86,8 +86,8 @@ def integrations(command: Column) -> Column:
     return F.when(text.contains_any(F.lower(command), ["aws", "boto"]), known).otherwise(F.array().cast("array<string>"))
 
 
-def process_concerns(command: Column, user: Column, extra: Column | None = None, n: int = 5) -> Column:
-    """Security remarks of a process, own rules first, then ``extra``, at most ``n``."""
+def process_concerns(command: Column, user: Column, extra: Column | None = None, n: int | None = None) -> Column:
+    """Security remarks of a process, own rules first, then ``extra``, the first ``n`` if given."""
     said = F.lower(command)
     own = F.array_compact(F.array(
         F.when(user == "root", "Running as root - consider principle of least privilege"),
@@ -95,7 +95,7 @@ def process_concerns(command: Column, user: Column, extra: Column | None = None,
         F.when(F.contains(said, F.lit("nginx")), "Review web server configuration and SSL/TLS settings"),
     ))
     every = own if extra is None else F.concat(own, F.coalesce(extra, F.array().cast("array<string>")))
-    return F.slice(every, 1, n)
+    return every if n is None else F.slice(every, 1, n)
 
 
 def classify(processes: DataFrame) -> DataFrame:
@@ -148,15 +148,16 @@ def config_type(path: Column) -> Column:
     )
 
 
-def key_settings(path: Column, content: Column, n: int = 5, head: int = 20) -> Column:
-    """The first ``n`` setting lines among the first ``head`` lines of a systemd or nginx file."""
-    lines = F.slice(F.split(content, "\n"), 1, head)
+def key_settings(path: Column, content: Column, n: int | None = None, head: int | None = None) -> Column:
+    """The setting lines of a systemd or nginx file: the first ``n``, among the first ``head`` lines, if given."""
+    lines = F.split(content, "\n")
+    lines = lines if head is None else F.slice(lines, 1, head)
     pick = lambda words: F.transform(F.filter(lines, lambda x: text.contains_any(x, words)), text.squeeze_ends)
     found = (
         F.when(F.contains(path, F.lit("/systemd/system")), pick(SYSTEMD_SETTINGS)).when(F.contains(path, F.lit("/nginx/")), pick(NGINX_SETTINGS))
         .otherwise(F.array().cast("array<string>"))
     )
-    return F.slice(found, 1, n)
+    return found if n is None else F.slice(found, 1, n)
 
 
 def endpoint_resource(path: Column) -> Column:
@@ -214,8 +215,8 @@ def config_variables(variables: DataFrame, by: list[str], order: list[str]) -> D
     )
 
 
-def setup_variables(variables: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataFrame:
-    """The first ``n`` variable rows, repeated names included."""
+def setup_variables(variables: DataFrame, by: list[str], order: list[str], n: int | None = None) -> DataFrame:
+    """The first ``n`` variable rows, repeated names included; all without ``n``."""
     return top_n(variables, by, order, n, "place")
 
 
@@ -265,8 +266,8 @@ def process_counts(processes: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
-def critical_services(processes: DataFrame, by: list[str], n: int = 5) -> DataFrame:
-    """The first ``n`` web servers and workers per host."""
+def critical_services(processes: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """The first ``n`` web servers and workers per host, all without ``n``."""
     kind = service_class(F.col("command"))
     named = processes.withColumn("service_classification", kind)
     critical = F.col("service_classification").isin("web_server", "background_worker") | F.contains(F.lower("command"), F.lit("worker"))
@@ -293,10 +294,10 @@ def notes(files: DataFrame, column: str, by: list[str], order: str, n: int) -> D
     return top_n(rows, by, [order, "__at"], n, "place").select(*by, "place", "note")
 
 
-def dir_rollup(files: DataFrame, by: list[str] = [], max_depth: int = 4) -> DataFrame:
-    """Files below every folder down to ``max_depth`` levels."""
+def dir_rollup(files: DataFrame, by: list[str] = [], max_depth: int | None = None) -> DataFrame:
+    """Files below every folder, down to ``max_depth`` levels if given."""
     folders = F.filter(F.split(paths.directory(F.col("path")), "/"), lambda d: d != "")
-    depth = F.least(F.size("__dirs"), F.lit(max_depth))
+    depth = F.size("__dirs") if max_depth is None else F.least(F.size("__dirs"), F.lit(max_depth))
     prefixes = F.when(F.size("__dirs") > 0, F.transform(
         F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(F.col("__dirs"), F.lit(1), k), "/").alias("folder"))))
     rows = files.withColumn("__dirs", folders).select(*by, F.inline(prefixes))

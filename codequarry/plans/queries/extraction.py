@@ -117,7 +117,7 @@ PARAMETERS_SQL = r"""array_to_string(list_transform(list_filter(list_transform(s
                CAST(stop AS BIGINT) AS line_end, CAST(ind + 1 AS BIGINT) AS column_start,
                CAST(length(last_line) + 1 AS BIGINT) AS column_end, {PARAMETERS_SQL} AS parameters,
                starts_with(head, 'async') AS is_async, contains(params, 'self') AS is_method,
-               CAST({_complexity_sql('body')} AS BIGINT) AS complexity, md5(substr(body, 1, 500)) AS content
+               CAST({_complexity_sql('body')} AS BIGINT) AS complexity, md5(body) AS content
         FROM funcs""",
 )
 def function_rows(t: Inputs):
@@ -125,7 +125,7 @@ def function_rows(t: Inputs):
     return rows.select(
         "idx", "id", "name", *[F.col(c).cast("bigint") for c in ("line_start", "line_end", "column_start", "column_end")],
         F.array_join("parameters", ",").alias("parameters"), "is_async", "is_method",
-        F.col("complexity").cast("bigint"), F.md5(F.substring("content", 1, 500)).alias("content"),
+        F.col("complexity").cast("bigint"), F.md5("content").alias("content"),
     )
 
 
@@ -159,11 +159,11 @@ def function_calls(t: Inputs):
     f"""WITH {CODE}
         SELECT idx, regexp_extract(head, '(def|class)\\s+(\\w+)', 2) AS name,
                CASE WHEN head LIKE 'class Order%' THEN regexp_extract(body, '"([^"]*)"', 1)
-                    WHEN head LIKE 'async def price_%' THEN substr(regexp_extract(body, '''''''(.*?)''''''', 1, 's'), 1, 200) END AS docstring
+                    WHEN head LIKE 'async def price_%' THEN regexp_extract(body, '''''''(.*?)''''''', 1, 's') END AS docstring
         FROM spans""",
 )
 def docstrings(t: Inputs):
-    both = [f(t.b_source).select("idx", "name", F.substring("docstring", 1, 200).alias("docstring")) for f in (extract.extract_functions, extract.extract_classes)]
+    both = [f(t.b_source).select("idx", "name", "docstring") for f in (extract.extract_functions, extract.extract_classes)]
     return both[0].union(both[1])
 
 
@@ -294,7 +294,7 @@ def extraction_statistics(t: Inputs):
 
 EMBED_SQL = """
     SELECT id, concat_ws(' | ', node_type || ' ' || name, 'purpose: ' || purpose, 'domain: ' || domain, docstring,
-                         substr(content, 1, 500), 'file: ' || regexp_extract(file_path, '[^/]*/[^/]*$')) AS text
+                         content, 'file: ' || regexp_extract(file_path, '[^/]*/[^/]*$')) AS text
     FROM {b_functions}"""
 
 
@@ -304,10 +304,38 @@ def embedding_texts(t: Inputs):
     return nodes.select("id", extract.embedding_text(nodes).alias("text"))
 
 
-@query("embedding_batches", f"SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 100 AS BIGINT) AS batch, substr(text, 1, 8000) AS text FROM ({EMBED_SQL})")
+@query("embedding_batches", f"SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 100 AS BIGINT) AS batch, text FROM ({EMBED_SQL})")
 def embedding_batches(t: Inputs):
     nodes = t.b_functions
-    return extract.assign_batches(nodes.select("id", extract.embedding_text(nodes).alias("text")), ["id"])
+    return extract.assign_batches(nodes.select("id", extract.embedding_text(nodes).alias("text")), ["id"]).select("id", "batch", "text")
+
+
+# Long texts as several requests: documents in parts of at most 1,000 characters.
+PARTS_SQL = r"""(SELECT doc_id, part, text, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY part) - length(text) AS start FROM (
+    SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS part FROM (
+      SELECT doc_id, regexp_extract_all(text, '(?s).{1,1000}\z|.{0,999}\n|.{1,1000}') AS ps FROM documents)))"""
+
+
+@query(
+    "embedding_requests",
+    f"""SELECT doc_id, CAST(part AS BIGINT) AS part, CAST(start AS BIGINT) AS start, md5(text) AS text,
+               CAST((row_number() OVER (ORDER BY doc_id, part) - 1) // 100 AS BIGINT) AS batch FROM {PARTS_SQL}""",
+)
+def embedding_requests(t: Inputs):
+    found = extract.assign_batches(t.documents.select("doc_id", "text"), ["doc_id"], most=1000)
+    return found.select("doc_id", "part", "start", F.md5("text").alias("text"), "batch")
+
+
+@query(
+    "vectors_of_parts",
+    """WITH p AS (SELECT vec_id // 3 AS id, 1 + vec_id % 5 AS size, embedding FROM embeddings),
+       c AS (SELECT id, size, unnest(embedding) AS c, generate_subscripts(embedding, 1) AS k FROM p)
+       SELECT id, CAST(k - 1 AS BIGINT) AS k, round(sum(size * CAST(c AS DOUBLE)) / sum(size), 6) + 0.0 AS c FROM c GROUP BY id, k""",
+)
+def vectors_of_parts(t: Inputs):
+    parts = t.embeddings.select(F.floor(F.col("vec_id") / 3).alias("id"), (1 + F.col("vec_id") % 5).alias("size"), "embedding")
+    joined = extract.join_parts(parts, ["id"], "size").select("id", F.posexplode("embedding").alias("k", "c"))
+    return joined.select("id", F.col("k").cast("bigint"), (F.round("c", 6) + 0.0).alias("c"))
 
 
 @query(

@@ -46,7 +46,7 @@ def application_processes(t: Inputs):
 
 @query("application_pids", f"SELECT host, place, pid FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY line_no) AS place FROM {PROCS} WHERE {APP}) WHERE place <= 15")
 def application_pids(t: Inputs):
-    return inventory.application_pids(_procs(t), ["host"])
+    return inventory.application_pids(_procs(t), ["host"], 15)
 
 
 CONCERNS = """concat_ws('; ', CASE WHEN "user" = 'root' THEN 'Running as root - consider principle of least privilege' END,
@@ -87,10 +87,10 @@ def integrations_used(t: Inputs):
 
 @query(
     "process_concerns",
-    f"""SELECT line_no, array_to_string(list_slice(list_filter(string_split({CONCERNS}, '; '), lambda c: c <> '') || ['pid ' || pid, 'host ' || host, 'seen'], 1, 5), '; ') AS concerns FROM {PROCS}""",
+    f"""SELECT line_no, array_to_string(list_filter(string_split({CONCERNS}, '; '), lambda c: c <> '') || ['pid ' || pid, 'host ' || host, 'seen', 'listed', 'kept', 'told'], '; ') AS concerns FROM {PROCS}""",
 )
 def process_concerns(t: Inputs):
-    extra = F.array(F.concat(F.lit("pid "), "pid"), F.concat(F.lit("host "), "host"), F.lit("seen"))
+    extra = F.array(F.concat(F.lit("pid "), "pid"), F.concat(F.lit("host "), "host"), *map(F.lit, ("seen", "listed", "kept", "told")))
     rows = _procs(t)
     return rows.select("line_no", F.array_join(inventory.process_concerns(F.col("command"), F.col("user"), extra), "; ").alias("concerns"))
 
@@ -147,7 +147,7 @@ def config_types(t: Inputs):
 @query(
     "key_settings",
     r"""WITH f AS (SELECT p_partkey, concat(CASE WHEN p_type = 'ECONOMY' THEN '/etc/nginx/n' WHEN p_type = 'PROMO' THEN '/etc/systemd/system/s' ELSE '/opt/x' END, p_partkey) AS path,
-                   string_split(concat('[Unit]', chr(10), '  listen ', p_size, ';', chr(10), 'User=', p_brand, chr(10), 'ExecStart=/bin/', p_name, chr(10), ' root /srv/', p_name), chr(10)) AS ls FROM part),
+                   string_split(concat('[Unit]', chr(10), '  listen ', p_size, ';', chr(10), 'User=', p_brand, chr(10), 'ExecStart=/bin/', p_name, chr(10), ' root /srv/', p_name, repeat(concat(chr(10), '#'), 20), repeat(concat(chr(10), 'listen 80;'), 7), chr(10), 'User=late'), chr(10)) AS ls FROM part),
         l AS (SELECT p_partkey, path, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM f),
         k AS (SELECT p_partkey, string_agg(trim(line), '|' ORDER BY n) AS settings FROM l
               WHERE (path LIKE '/etc/systemd/%' AND regexp_matches(line, 'ExecStart=|User=|WorkingDirectory=')) OR (path LIKE '/etc/nginx/%' AND regexp_matches(line, 'server_name|listen|root|proxy_pass'))
@@ -156,7 +156,7 @@ def config_types(t: Inputs):
 )
 def key_settings(t: Inputs):
     folder = F.when(F.col("p_type") == "ECONOMY", "/etc/nginx/n").when(F.col("p_type") == "PROMO", "/etc/systemd/system/s").otherwise("/opt/x")
-    content = F.concat(F.lit("[Unit]\n  listen "), "p_size", F.lit(";\nUser="), "p_brand", F.lit("\nExecStart=/bin/"), "p_name", F.lit("\n root /srv/"), "p_name")
+    content = F.concat(F.lit("[Unit]\n  listen "), "p_size", F.lit(";\nUser="), "p_brand", F.lit("\nExecStart=/bin/"), "p_name", F.lit("\n root /srv/"), "p_name", F.lit("\n#" * 20 + "\nlisten 80;" * 7 + "\nUser=late"))
     found = inventory.key_settings(F.concat(folder, "p_partkey"), content)
     return t.part.select(F.col("p_partkey").alias("id"), F.array_join(found, "|").alias("settings"))
 
@@ -240,7 +240,7 @@ def configuration_variables(t: Inputs):
 
 @query("setup_variables", f"SELECT host, variable_name, place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY doc_id) AS place FROM {VARIABLES}) WHERE place <= 5")
 def setup_variables(t: Inputs):
-    return inventory.setup_variables(t.sql(f"SELECT * FROM {VARIABLES} v"), ["host"], ["doc_id"]).select("host", "variable_name", "place")
+    return inventory.setup_variables(t.sql(f"SELECT * FROM {VARIABLES} v"), ["host"], ["doc_id"], 5).select("host", "variable_name", "place")
 
 
 @query(
@@ -297,7 +297,7 @@ def process_counts(t: Inputs):
         (SELECT *, {CLASS} AS class FROM {PROCS}) WHERE class IN ('web_server', 'background_worker') OR contains(lower(command), 'worker')) WHERE place <= 5""",
 )
 def critical_services(t: Inputs):
-    return inventory.critical_services(_procs(t), ["host"]).select("host", "line_no", "service_classification", "place")
+    return inventory.critical_services(_procs(t), ["host"], 5).select("host", "line_no", "service_classification", "place")
 
 
 @query("core_services", f"SELECT host, line_no, {CLASS} AS class, {PURPOSE} AS purpose FROM {PROCS} WHERE {CLASS} IN ('web_server', 'service')")
@@ -319,7 +319,7 @@ def file_notes(t: Inputs):
 @query(
     "folder_rollup",
     """WITH p AS (SELECT host, list_filter(string_split(regexp_replace(path, '/[^/]*$', ''), '/'), lambda x: x <> '') AS ds FROM {b_listing}),
-       d AS (SELECT host, CAST(k AS BIGINT) AS depth, array_to_string(ds[1:k], '/') AS folder FROM p, range(1, 5) r(k) WHERE k <= len(ds))
+       d AS (SELECT host, CAST(k AS BIGINT) AS depth, array_to_string(ds[1:k], '/') AS folder FROM (SELECT host, ds, unnest(generate_series(1, len(ds))) AS k FROM p))
        SELECT host, depth, folder, count(*) AS files FROM d GROUP BY ALL""",
 )
 def folder_rollup(t: Inputs):

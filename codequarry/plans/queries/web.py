@@ -94,10 +94,10 @@ def capped_links(t: Inputs):
 @query(
     "routed_attempts",
     f"""WITH s AS (SELECT *, {SITE_TYPE.replace('contains(s,', "contains(lower(url || ' ' || title),")} AS kind FROM {{b_sites}}),
-        l AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY link_no) AS n FROM {{b_links}})
+        l AS (SELECT * FROM {{b_links}})
         SELECT s.site_id, l.link AS url, {_title_sql("translate(regexp_extract(rtrim(l.link, '/'), '[^/]*$'), '-_', '  ')")} AS title, s.title AS source,
                'documentation' AS type, CAST(1 AS BIGINT) AS priority, 'browser-use-success' AS extraction_method
-        FROM s JOIN l ON l.site_id = s.site_id AND l.n <= 50 WHERE kind = 'documentation' AND status = 'completed'
+        FROM s JOIN l ON l.site_id = s.site_id WHERE kind = 'documentation' AND status = 'completed'
         UNION ALL SELECT site_id, url, title, title, 'main_page', 2, status || '-fallback' FROM s WHERE kind = 'documentation' AND status IN ('timeout', 'error')
         UNION ALL SELECT site_id, url, title, title, kind, 2, 'direct-url' FROM s WHERE kind <> 'documentation'""",
 )

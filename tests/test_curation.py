@@ -30,8 +30,10 @@ def test_routes(spark, rows):
                                   "site_id int, title string, url string")
     attempts = spark.createDataFrame([(1, "completed"), (2, "timeout"), (3, "error"), (4, "completed")], "site_id int, status string")
     links = spark.createDataFrame([(1, i, f"https://h/page-{i}") for i in range(60)], "site_id int, link_no int, link string")
-    got = rows(curation.route_attempts(sites, attempts, links), "site_id", "type", "priority", "extraction_method")
+    got = rows(curation.route_attempts(sites, attempts, links, cap=50), "site_id", "type", "priority", "extraction_method")
     assert got.count((1, "documentation", 1, "browser-use-success")) == 50
+    assert curation.route_attempts(sites, attempts, links).where("type = 'documentation'").count() == 60
+    assert curation.cap_per_source(links, ["site_id"], ["link_no"]).count() == 60
     assert got[50:] == [(2, "main_page", 2, "timeout-fallback"), (3, "main_page", 2, "error-fallback"), (5, "tutorial", 2, "direct-url")]
 
 

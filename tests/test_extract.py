@@ -99,13 +99,34 @@ def test_embedding_text(spark):
         "node_type string, name string, purpose string, domain string, technologies array<string>, docstring string, "
         "parameters array<string>, content string, file_path string")
     got = df.select(extract.embedding_text(df)).first()[0]
-    assert got == "function f | purpose: parse | technologies: a, b | doc | parameters: x | " + "z" * 500 + " | file: src/m.py"
+    assert got == "function f | purpose: parse | technologies: a, b | doc | parameters: x | " + "z" * 600 + " | file: src/m.py"
 
 
 def test_batches(spark):
     df = spark.createDataFrame([(i, "t" * 9000) for i in range(250)], "id int, text string")
-    got = extract.assign_batches(df, ["id"]).select("id", "batch", F.length("text")).collect()
-    assert all(r[1] == r[0] // 100 and r[2] == 8000 for r in got)
+    got = extract.assign_batches(df, ["id"]).select("id", "batch", "part", "start", F.length("text").alias("n")).collect()
+    assert sorted((r["id"], r["part"], r["start"], r["n"]) for r in got) == sorted((i, *p) for i in range(250) for p in ((0, 0, 8000), (1, 8000, 1000)))
+    assert all(r["batch"] == (2 * r["id"] + r["part"]) // 100 for r in got)
+
+
+def test_parts_make_up_the_text(spark):
+    rng = random.Random(6)
+    texts = ["", "a", "\n" * 50, "x" * 95, "é\n" * 40, None] + ["".join(rng.choice("ab \n😀é") for _ in range(rng.randrange(200))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    parts = {}
+    for r in extract.assign_batches(df, ["id"], most=30).collect():
+        parts.setdefault(r["id"], []).append((r["part"], r["start"], r["text"]))
+    for i, text in enumerate(texts):
+        held = sorted(parts[i])
+        assert "".join(p[2] for p in held) == (text or "") and all(len(p[2]) <= 30 for p in held)
+        assert [p[1] for p in held] == [sum(len(q[2]) for q in held[:n]) for n in range(len(held))]
+        for (_, _, part), (_, _, following) in zip(held, held[1:]):
+            assert part.endswith("\n") or "\n" not in part and len(part) == 30
+
+
+def test_vectors_of_parts(spark):
+    df = spark.createDataFrame([(1, 3, [1.0, 0.0]), (1, 1, [0.0, 4.0]), (2, 5, [2.0, 2.0])], "id int, n int, embedding array<double>")
+    assert {r["id"]: r["embedding"] for r in extract.join_parts(df, ["id"], "n").collect()} == {1: [0.75, 1.0], 2: [2.0, 2.0]}
 
 
 def test_entities_hold_whole_texts(spark, rows):

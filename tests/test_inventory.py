@@ -54,6 +54,8 @@ def test_key_settings(spark):
     many = "\n".join(f"listen {i};" for i in range(9))
     df = spark.createDataFrame([("/etc/systemd/system/a.service", unit), ("/etc/nginx/a.conf", many), ("/opt/a.conf", many)], "p string, c string")
     got = [r[0] for r in df.select(inventory.key_settings(F.col("p"), F.col("c"))).collect()]
+    assert got == [["User=a", "ExecStart=/x", "WorkingDirectory=/late"], [f"listen {i};" for i in range(9)], []]
+    got = [r[0] for r in df.select(inventory.key_settings(F.col("p"), F.col("c"), 5, 20)).collect()]
     assert got == [["User=a", "ExecStart=/x"], [f"listen {i};" for i in range(5)], []]
 
 
@@ -90,7 +92,8 @@ def test_model_calls_of_nothing(spark):
 
 def test_folder_rollup_depth(spark, rows):
     df = spark.createDataFrame([("/a/b/c/d/e/f.py",), ("/a/x.py",), ("root.py",)], "path string")
-    assert rows(inventory.dir_rollup(df)) == [(1, "a", 2), (2, "a/b", 1), (3, "a/b/c", 1), (4, "a/b/c/d", 1)]
+    assert rows(inventory.dir_rollup(df, max_depth=4)) == [(1, "a", 2), (2, "a/b", 1), (3, "a/b/c", 1), (4, "a/b/c/d", 1)]
+    assert rows(inventory.dir_rollup(df))[4:] == [(5, "a/b/c/d/e", 1)]
 
 
 def test_notes_in_file_order(spark, rows):
