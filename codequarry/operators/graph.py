@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text
 from codequarry.functions.ranking import top_n
+from codequarry.operators import search
 from codequarry.session import materialize
 
 
@@ -175,14 +176,13 @@ def by_domain_purpose(functions: DataFrame, domain: str | None = None, purpose:
     return kept.orderBy(F.asc_nulls_last("domain"), F.asc_nulls_last("purpose"), F.asc_nulls_last("name"), "id")
 
 
-def multi_field_search(functions: DataFrame, term: str, n: int = 20) -> DataFrame:
-    """First ``n`` functions by name that mention the term in any described field."""
-    said = F.lit(False)
-    for column in ("purpose", "domain", "name", "docstring"):
-        said = said | text.contains_any(F.col(column), [term])
-    if "technologies" in functions.columns:
-        said = said | F.coalesce(F.exists("technologies", lambda x: F.contains(x, F.lit(term))), F.lit(False))
-    return functions.where(said).orderBy("name", "id").limit(n)
+SEARCHED = ("purpose", "domain", "name", "docstring", "technologies")
+
+
+def multi_field_search(functions: DataFrame, term: str, n: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """First ``n`` functions by name that mention the term in any described field; through an index of them if given."""
+    said = {field: [term] for field in SEARCHED if field in functions.columns}
+    return search.holding(functions, said, index).orderBy("name", "id").limit(n)
 
 
 def code_metrics(functions: DataFrame, classes: DataFrame, files: DataFrame) -> DataFrame:
@@ -215,10 +215,10 @@ def lookup_entity(entities: DataFrame, name: str) -> DataFrame:
     return entities.where(F.col("name") == name)
 
 
-def contains_lookup(entities: DataFrame, name_term: str, content_term: str) -> DataFrame:
-    """Entities whose name or content holds a term, with 300 characters of content."""
-    said = text.contains_any(F.col("name"), [name_term]) | text.contains_any(F.col("content"), [content_term])
-    return entities.where(said).withColumn("content", F.substring("content", 1, 300))
+def contains_lookup(entities: DataFrame, name_term: str, content_term: str, index: DataFrame | None = None) -> DataFrame:
+    """Entities whose name or content holds a term, with 300 characters of content; through an index of both if given."""
+    found = search.holding(entities, {"name": [name_term], "content": [content_term]}, index)
+    return found.withColumn("content", F.substring("content", 1, 300))
 
 
 def with_parameters(functions: DataFrame, parameters: DataFrame, name: str | None = None) -> DataFrame:

@@ -131,15 +131,17 @@ def index_lines(projects: DataFrame, plan: DataFrame, diagram: DataFrame, conten
     ``projects(project_id, name, summary, repo_url)``; chapters without content
     are left out.
     """
-    head = F.array(
-        F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("place"), F.concat(F.lit("# Tutorial: "), "name").alias("line")),
-        F.struct(F.lit(0).alias("part"), F.lit(1).cast("bigint").alias("place"), F.col("summary").alias("line")),
-        F.struct(F.lit(0).alias("part"), F.lit(2).cast("bigint").alias("place"),
-                 F.concat(F.lit("**Source Repository:** ["), "repo_url", F.lit("]("), "repo_url", F.lit(")")).alias("line")),
-        F.struct(F.lit(0).alias("part"), F.lit(3).cast("bigint").alias("place"), F.lit("flowchart TD").alias("line")),
-        F.struct(F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("place"), F.lit("## Chapters").alias("line")),
-    )
-    heads = projects.select(by, F.inline(head))
+    blank = F.lit("")
+    source = F.concat(F.lit("**Source Repository:** ["), "repo_url", F.lit("]("), "repo_url", F.lit(")"))
+    parts = {
+        0: [F.concat(F.lit("# Tutorial: "), "name"), blank, F.col("summary"), blank, source, blank, F.lit("```mermaid"), F.lit("flowchart TD")],
+        3: [F.lit("```"), blank, F.lit("## Chapters"), blank],
+    }
+    rows = [
+        F.struct(F.lit(part).alias("part"), F.lit(place).cast("bigint").alias("place"), line.alias("line"))
+        for part, lines in parts.items() for place, line in enumerate(lines)
+    ]
+    heads = projects.select(by, F.inline(F.array(*rows)))
     body = diagram.select(by, (F.col("part") + 1).alias("part"), "place", "line")
     written = plan.join(content.select(by, "pos"), [by, "pos"], "left_semi")
     chapters = written.select(by, F.lit(4).alias("part"), F.col("pos").cast("bigint").alias("place"), F.col("listing").alias("line"))

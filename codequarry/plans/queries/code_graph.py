@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.operators import edges, extract, graph
+from codequarry.operators import edges, extract, graph, search
 from codequarry.plans import catalogue
 from codequarry.plans.queries.extraction import CODE, _complexity_sql
 from codequarry.plans.registry import Inputs, query
-from codequarry.session import materialize
+from codequarry.session import materialize, scratch_path
 
 # ---------------------------------------------------------------- inputs
 
@@ -428,6 +428,28 @@ def entity_lookup(t: Inputs):
     return graph.lookup_entity(entities, "C7").union(graph.lookup_entity(entities, "red widget")).select("id", "node_type", "file_path")
 
 
+@query(
+    "indexed_lookup",
+    """SELECT 'code' AS part, id, name AS said FROM {b_functions} WHERE contains(name, 'anvil') OR contains(content, 'promo')
+       UNION ALL SELECT 'field', id, name FROM {b_functions} WHERE contains(purpose, 'CONO') OR contains(domain, 'CONO') OR contains(name, 'CONO') OR contains(docstring, 'CONO')
+       UNION ALL SELECT 'text', doc_id, source FROM documents WHERE contains(text, 'password') OR contains(text, 'AKIA')""",
+)
+def indexed_lookup(t: Inputs):
+    """Contains-searches through posting lists: code, described fields, whole documents."""
+    root, functions, docs = scratch_path(t.spark, "index"), t.b_functions, t.documents
+    search.write_index(functions, ["name", "content", "purpose", "domain", "docstring"], f"{root}/code")
+    search.write_index(docs, ["text"], f"{root}/text", "doc_id")
+    code, texts = search.read_index(t.spark, f"{root}/code", "bigint"), search.read_index(t.spark, f"{root}/text", "bigint")
+    shown = lambda rows, part, id, said: rows.select(F.lit(part).alias("part"), F.col(id).cast("bigint").alias("id"), F.col(said).alias("said"))
+    described = {f: ["CONO"] for f in graph.SEARCHED if f in functions.columns}
+    found = [
+        shown(graph.contains_lookup(functions, "anvil", "promo", code), "code", "id", "name"),
+        shown(search.holding(functions, described, code), "field", "id", "name"),
+        shown(search.holding(docs, {"text": ["password", "AKIA"]}, texts, "doc_id"), "text", "doc_id", "source"),
+    ]
+    return found[0].union(found[1]).union(found[2])
+
+
 @query("contains_lookup", "SELECT id, name, substr(content, 1, 300) AS content FROM {b_functions} WHERE contains(name, 'anvil') OR contains(content, 'promo')")
 def contains_lookup(t: Inputs):
     return graph.contains_lookup(t.b_functions, "anvil", "promo").select("id", "name", "content")

@@ -153,10 +153,14 @@ def diagram_lines(t: Inputs):
     f"""WITH {DIAGRAM_SQL}, {PLAN_SQL},
         pr AS (SELECT c_custkey AS project_id, c_name AS name, c_mktsegment AS summary, 'https://git.example/' || c_custkey AS url FROM customer)
         SELECT project_id, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS place, '# Tutorial: ' || name AS line FROM pr
-        UNION ALL SELECT project_id, 0, 1, summary FROM pr
-        UNION ALL SELECT project_id, 0, 2, '**Source Repository:** [' || url || '](' || url || ')' FROM pr
-        UNION ALL SELECT project_id, 0, 3, 'flowchart TD' FROM pr
-        UNION ALL SELECT project_id, 3, 0, '## Chapters' FROM pr
+        UNION ALL SELECT project_id, 0, 2, summary FROM pr
+        UNION ALL SELECT project_id, 0, 4, '**Source Repository:** [' || url || '](' || url || ')' FROM pr
+        UNION ALL SELECT project_id, 0, 6, '```mermaid' FROM pr
+        UNION ALL SELECT project_id, 0, 7, 'flowchart TD' FROM pr
+        UNION ALL SELECT project_id, 0, unnest([1, 3, 5]), '' FROM pr
+        UNION ALL SELECT project_id, 3, 0, '```' FROM pr
+        UNION ALL SELECT project_id, 3, 2, '## Chapters' FROM pr
+        UNION ALL SELECT project_id, 3, unnest([1, 3]), '' FROM pr
         UNION ALL SELECT project_id, part + 1, place, line FROM diagram
         UNION ALL SELECT project_id, 4, pos, listing FROM plan WHERE pos <= 5 OR idx IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
 )

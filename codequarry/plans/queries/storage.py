@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.ranking import positions
@@ -112,6 +115,80 @@ def curation_state_store(t: Inputs):
     )
 
 
+@query(
+    "analysis_kinds",
+    """SELECT 'function' AS kind, CAST(id AS VARCHAR) AS id, name, file_path, CAST(complexity AS VARCHAR) AS detail FROM {b_functions}
+       UNION ALL SELECT 'class', CAST(id AS VARCHAR), name, file_path, base FROM {b_classes}
+       UNION ALL SELECT 'import', file_path || '|' || module || '|' || item, module, file_path, item FROM {b_imports}""",
+)
+def analysis_kinds(t: Inputs):
+    """All kinds of nodes written as one analysis and read back apart."""
+    path = scratch_path(t.spark, "analysis")
+    at = F.struct("file_path").alias("location")
+    functions = t.b_functions.select(F.col("id").cast("string"), "node_type", "name", at, "complexity")
+    classes = t.b_classes.select(F.col("id").cast("string"), "node_type", "name", at, F.array("base").alias("base_classes"))
+    imports = t.b_imports.select(
+        F.concat_ws("|", "file_path", "module", "item").alias("id"), F.lit("import").alias("node_type"), F.col("module").alias("name"), at,
+        "module", F.array("item").alias("imports"),
+    )
+    nodes = functions.unionByName(classes, True).unionByName(imports, True)
+    documents.write_analysis(nodes.agg(F.count(F.lit(1)).alias("total_nodes")), nodes, path)
+    f, c, i = documents.split_nodes(documents.read_analysis(t.spark, path, sharded=True))
+    shown = lambda rows, detail: rows.select(F.col("node_type").alias("kind"), "id", "name", "location.file_path", detail.alias("detail"))
+    return shown(f, F.col("complexity").cast("string")).union(shown(c, F.array_join("base_classes", ","))).union(shown(i, F.array_join("imports", ",")))
+
+
+@query(
+    "stored_sessions",
+    """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS title, 'c' || c_nationkey AS created_at, c_mktsegment AS last_message_at,
+              coalesce(array_to_string(list_sort(s.sources), ','), '') AS attached_sources
+       FROM customer LEFT JOIN (SELECT o_custkey, list(DISTINCT o_orderpriority) AS sources FROM orders GROUP BY o_custkey) s ON o_custkey = c_custkey""",
+)
+def stored_sessions(t: Inputs):
+    """Session rows with title, stamps and attached sources, written and read back."""
+    path = scratch_path(t.spark, "sessions")
+    sources = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("attached_sources"))
+    rows = t.customer.join(sources, "c_custkey", "left").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.concat(F.lit("c"), "c_nationkey").alias("created_at"),
+        F.col("c_mktsegment").alias("last_message_at"), F.coalesce("attached_sources", F.array().cast("array<string>")).alias("attached_sources"),
+    )
+    messages = t.b_messages.select(
+        F.col("session_id").cast("string"), "turn", F.col("turn").cast("string").alias("id"), "type", "content", F.lit(None).cast("string").alias("timestamp"))
+    documents.write_sessions(rows, messages, ["turn"], path)
+    stored, _ = documents.read_sessions(t.spark, path, sharded=True)
+    return stored.withColumn("attached_sources", F.array_join("attached_sources", ","))
+
+
+@query(
+    "curation_state_tables",
+    """SELECT 'sites' AS part, CAST(site_id AS VARCHAR) AS session_id, title AS a, url AS b FROM {b_sites}
+       UNION ALL SELECT 'urls', CAST(session_id AS VARCHAR), url, coalesce(CAST(priority AS VARCHAR), '-') FROM {b_urls}
+       UNION ALL SELECT 'approved', CAST(session_id AS VARCHAR), url, coalesce(relevance, '-') FROM {b_urls} WHERE priority = 1
+       UNION ALL SELECT 'crawled', CAST(page_id % 5 AS VARCHAR), url, CAST(length(html) AS VARCHAR) FROM pages
+       UNION ALL SELECT 'states', CAST(user_id AS VARCHAR), event_type, CAST(max(event_id) AS VARCHAR) FROM events GROUP BY user_id, event_type""",
+)
+def curation_state_tables(t: Inputs):
+    """The other tables of a curation state, written and read back."""
+    path = scratch_path(t.spark, "state")
+    place = F.lit(0).alias("place")
+    urls = t.b_urls.select(F.col("session_id").cast("string"), place, "url", "title", "source", F.col("priority").cast("int"), "relevance")
+    moment = F.timestamp_seconds(F.max("event_id")).cast("timestamp_ntz")
+    documents.write_state({
+        "sites": t.b_sites.select(F.col("site_id").cast("string").alias("session_id"), place, "title", "url"), "urls": urls,
+        "approved": urls.where("priority = 1"),
+        "crawled": t.pages.select((F.col("page_id") % 5).cast("string").alias("session_id"), place, "url", F.lit(True).alias("success"), F.length("html").alias("word_count")),
+        "states": t.events.groupBy(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("status")).agg(moment.alias("last_updated")),
+    }, path)
+    got = documents.read_state_tables(t.spark, path, ["sites", "urls", "approved", "crawled", "states"])
+    shown = {
+        "sites": ("title", F.col("url")), "urls": ("url", F.coalesce(F.col("priority").cast("string"), F.lit("-"))),
+        "approved": ("url", F.coalesce("relevance", F.lit("-"))), "crawled": ("url", F.col("word_count").cast("string")),
+        "states": ("status", F.unix_seconds(F.col("last_updated").cast("timestamp")).cast("string")),
+    }
+    parts = [got[n].select(F.lit(n).alias("part"), "session_id", F.col(a).alias("a"), b.alias("b")) for n, (a, b) in shown.items()]
+    return reduce(DataFrame.union, parts)
+
+
 @query(
     "upserted_nodes",
     """WITH last AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey),

@@ -47,5 +47,7 @@ STATE_TABLES = {
     "sites": f"session_id STRING, place INT, {SITE}",
     "urls": f"session_id STRING, place INT, {URL}",
     "attempts": f"session_id STRING, place INT, {ATTEMPT}",
+    "approved": f"session_id STRING, place INT, {URL}",
+    "crawled": f"session_id STRING, place INT, {CRAWL}",
     "states": "session_id STRING, status STRING, created_at TIMESTAMP_NTZ, last_updated TIMESTAMP_NTZ",
 }

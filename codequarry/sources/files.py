@@ -29,17 +29,24 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     Path and size come from the listing alone, so a filter on them runs before
     any content is read.
     """
+    return _scanned(spark, root, pattern).where(F.col("content").isNotNull())
+
+
+def unreadable_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Path, size and reason of the files that ``scan_files`` leaves out."""
+    rejected = _scanned(spark, root, pattern).where(F.col("content").isNull())
+    return rejected.select("path", "size", F.lit("not UTF-8").alias("reason"))
+
+
+def _scanned(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     )
     prefix = root.rstrip("/") + "/"
     start = F.locate(prefix, F.col("path")) + len(prefix)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return (
-        raw.select(
-            F.substr("path", start).alias("path"), F.regexp_replace(text, "^\\x{feff}", "").alias("content"),
-            F.col("length").alias("size"),
-        ).where(F.col("content").isNotNull())
+    return raw.select(
+        F.substr("path", start).alias("path"), F.regexp_replace(text, "^\\x{feff}", "").alias("content"), F.col("length").alias("size")
     )
 
 

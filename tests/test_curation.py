@@ -157,5 +157,6 @@ def test_scan_files(spark, tmp_path, rows):
     (tmp_path / "a" / "z.txt").write_text("no")
     got = rows(files.scan_files(spark, str(tmp_path), "*.py"), "path", "content", "size")
     assert got == [("a/b/y.py", "hé\n", 4), ("a/x.py", "print(1)\n", 12)]
+    assert rows(files.unreadable_files(spark, str(tmp_path), "*.py")) == [("a/bad.py", 6, "not UTF-8")]
     kept, stats = files.size_filter(files.scan_files(spark, str(tmp_path)), 4)
     assert kept.count() == 2 and stats.first()["skipped"] == 1

@@ -67,8 +67,8 @@ def test_index_lines(spark):
     content = spark.createDataFrame([(1, 1)], "project_id int, pos int")
     lines = planning.index_lines(projects, plan, planning.diagram_lines(concepts, rel), content).orderBy("part", "place").collect()
     assert [r["line"] for r in lines] == [
-        "# Tutorial: P", "sum", "**Source Repository:** [http://r](http://r)", "flowchart TD", '    A0["Say hi"]', '    A1["B"]',
-        '    A0 -- "a quoted label that is rath..." --> A1', "## Chapters", "1. [Say \"hi\"](01_say__hi_.md)"]
+        "# Tutorial: P", "", "sum", "", "**Source Repository:** [http://r](http://r)", "", "```mermaid", "flowchart TD", '    A0["Say hi"]', '    A1["B"]',
+        '    A0 -- "a quoted label that is rath..." --> A1', "```", "", "## Chapters", "", "1. [Say \"hi\"](01_say__hi_.md)"]
 
 
 def test_cache(spark, rows):
