@@ -173,7 +173,7 @@ def _few(wanted: DataFrame, most: int = 10_000) -> bool:
 def mixed(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
     found = mix(docs, most, weights, seed)
-    own = {name: own_name() for name in ("doc_id", "source", "size", "least", "more", "words", "row", "nth", "times")}
+    own = {name: own_name() for name in ("doc_id", "source", "size", "least", "more", "words", "row", "nth", "place", "times")}
     times = found.groupBy("doc_id", "source", "size").agg(
         F.min("times").alias(own["least"]), F.max(F.struct("times", F.when(F.col("times") > 0, F.col("rows")).alias("rows"))).alias(own["more"]),
         F.count(F.lit(1)).alias(own["row"]),
@@ -182,17 +182,17 @@ def mixed(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
     # written, so that both sides of the join are plain shuffles, whose hot keys are split at run time
     times = materialize(times.where(F.col(own["more"])["times"] > 0), "times")
     same = F.col("doc_id").eqNullSafe(F.col(own["doc_id"])) & F.col("source").eqNullSafe(F.col(own["source"])) & (F.col(own["words"]) == F.col(own["size"]))
-    joined = docs.withColumn(own["words"], size_of(F.col("text"))).join(times, same)
-    alike = F.col(own["row"]) == 1
+    # there is a line for each document, so this side is not one to broadcast either
+    joined = docs.withColumn(own["words"], size_of(F.col("text"))).join(times.hint("merge"), same)
 
     def again(rows: DataFrame, count: Column) -> DataFrame:
         return rows.withColumn(own["times"], F.explode(F.array_repeat(F.lit(1), count.cast("int")))).select(*docs.columns)
 
-    several = materialize(joined.where(~alike).withColumn(own["row"], F.monotonically_increasing_id()), "alike")
-    settled = again(joined.where(alike), F.col(own["least"]))
-    if several.isEmpty():
-        return settled
+    if times.where(F.col(own["row"]) > 1).isEmpty():
+        return again(joined, F.col(own["least"]))
     # of the rows that agree the first by their texts are taken once more
-    numbered = positions(several, [own["doc_id"], own["source"], own["size"]], [F.xxhash64("text"), F.col("text"), F.col(own["row"])], own["nth"])
-    once_more = (F.col(own["nth"]) <= F.col(own["more"])["rows"]).cast("int")
-    return settled.unionByName(again(numbered, F.col(own["least"]) + once_more))
+    joined = materialize(joined.withColumn(own["nth"], F.monotonically_increasing_id()), "taken")
+    alike = F.col(own["row"]) == 1
+    numbered = positions(joined.where(~alike), [own["doc_id"], own["source"], own["size"]], [F.xxhash64("text"), F.col("text"), F.col(own["nth"])], own["place"])
+    once_more = (F.col(own["place"]) <= F.col(own["more"])["rows"]).cast("int")
+    return again(joined.where(alike), F.col(own["least"])).unionByName(again(numbered, F.col(own["least"]) + once_more))
