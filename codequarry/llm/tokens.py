@@ -74,14 +74,12 @@ class WordMemo:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        told = json.loads(file)
+        normalizer, split = (self._settings(part) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
         self.by_words = (
-            (told.get("normalizer") or {}).get("normalizers") == self.NORMALIZER
-            and (told.get("pre_tokenizer") or {}).get("pretokenizers") == self.SPLIT
-            and told.get("post_processor") is None
-            and not told["model"].get("dropout")
-            and all(t["content"].startswith("<|") for t in told.get("added_tokens") or [])
-        )
+            normalizer.get("normalizers") == self.NORMALIZER and split.get("pretokenizers") == self.SPLIT
+            and self.tokenizer.post_processor is None and not self.tokenizer.model.dropout
+            and all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
+        )
         self.whole = re.compile(f"[{self.LOWER}0-9{self.MARKS}]+").fullmatch
         self.runs = re.compile(f"[{self.LOWER}]+|[0-9]|[{self.MARKS}]+").findall
         self.letters = _byte_letters()
@@ -91,6 +89,11 @@ class WordMemo:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @staticmethod
+    def _settings(part) -> dict:
+        """The settings of a part of the tokenizer, without its vocabulary."""
+        return json.loads(part.__getstate__()) if part is not None else {}
+
     def _run(self, run: str) -> bytes:
         text = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
         one = self.id_bytes
