@@ -398,19 +398,19 @@ def normal(line):
 
 
 def line_keys(line):
-    """The blocks of a line with their SimHash, by the docstring of the operator."""
+    """The blocks of a line, by their SimHash, with the line's fingerprint, by the docstring of the operator."""
     runs = [line[i : i + 3] for i in range(max(len(line) - 2, 1))] if len(line.split(" ")) <= 12 else []
-    keys = set()
+    keys = {}
     for kind, parts in (("words", line.split(" ")), ("characters", runs)):
         hashes = [xxhash.xxh64_intdigest(p, 42) for p in set(parts)]
         hashes = [h - (1 << 64) if h >> 63 else h for h in hashes]
         for start in (20, 25):
             blocks = 3 << (len(hashes) // start).bit_length()
-            for j in range(min(blocks, 6)):
-                votes = [h for h in hashes if h % blocks == j]
-                bits = [8 * byte + plane for byte in range(7) for plane in range(2, 8)]
-                if len(votes) >= 3:
-                    keys.add((kind, blocks, j, tuple(2 * sum(h >> bit & 1 for h in votes) > len(votes) for bit in bits)))
+            bits = [8 * byte + plane for plane in range(2, 8) for byte in range(7)]
+            shares = [[h for h in hashes if h % blocks == j] for j in range(min(blocks, 6))]
+            prints = [tuple(2 * sum(h >> bit & 1 for h in votes) > len(votes) for bit in bits) for votes in shares]
+            fp = [bit for p in prints for bit in p[:7]] if blocks >= 6 else []
+            keys |= {(kind, blocks, j, p): fp for j, p in enumerate(prints) if len(shares[j]) >= 3}
     return keys
 
 
@@ -434,7 +434,11 @@ def test_fuzzy_lines(spark):
     assert all((i, n) in kept for i, n, x in places if not x)
     distinct = sorted({x for _, _, x in places if x})
     keys = {x: line_keys(x) for x in distinct}
-    linked = [(a, b) for a in distinct for b in distinct if a < b and keys[a] & keys[b] and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)]
+
+    def near(a, b):
+        return any(sum(x != y for x, y in zip(keys[a][k], keys[b][k], strict=True)) <= 12 for k in keys[a].keys() & keys[b].keys())
+
+    linked = [(a, b) for a in distinct for b in distinct if a < b and near(a, b) and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)]
     group = classes(distinct, linked)
     survivors = [x for i, n, x in places if x and (i, n) in kept]
     assert len(linked) > 30 and sorted(group[x] for x in survivors) == sorted(set(group.values()))
