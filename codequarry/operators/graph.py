@@ -140,28 +140,33 @@ def class_hierarchy(inherits: DataFrame, classes: DataFrame, name: str, max_dept
 
     A given ``max_depth`` that paths go beyond is an error; paths are never cut silently.
 
-    One join per level; every level is written out, so the loop's plan stays
-    flat and an executor loss costs a re-read.
+    Paths double: ``found`` holds the paths to a root of fewer than 2^i edges, ``runs`` all paths of
+    exactly 2^i edges, and a longer path is a run on top of a found one.  So the number of joins is the
+    logarithm of the depth; both are written out each time, so an executor loss costs a re-read.
     """
-    edges = materialize(inherits.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct(), "inherits")
-    roots = classes.where(F.col("name") == name).select(F.col("id").alias("parent"))
-    pair = F.concat_ws(">", F.col("child").cast("string"), F.col("parent").cast("string"))
-    top = edges.join(roots, "parent").select("child", "parent", F.col("parent").alias("root"))
-    frontier = materialize(top.select(
-        "child", "root", F.array("child", "parent").alias("path"), F.array(pair).alias("used")), "hierarchy")
-    found = []
-    while not frontier.isEmpty():
-        if max_depth is not None and len(found) >= max_depth:
+    pair = F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string"))
+    edges = inherits.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    # a run names its classes from the lowest to the one before ``top``
+    runs = materialize(edges.select(
+        F.col("src").alias("low"), F.col("dst").alias("top"), F.array("src").alias("steps"), F.array(pair).alias("used")), "runs")
+    roots = classes.where(F.col("name") == name).select(F.col("id").alias("root")).where("root IS NOT NULL").distinct()
+    found = materialize(roots.select(
+        F.col("root").alias("child"), "root", F.array("root").alias("path"), F.array().cast("array<string>").alias("used")), "hierarchy")
+    every = [found]
+    while True:
+        paths = reduce(DataFrame.union, every)
+        met = runs.join(paths.withColumnRenamed("used", "__used"), F.col("top") == F.col("child"))
+        longer = materialize(met.where(~F.arrays_overlap("used", "__used")).select(
+            F.col("low").alias("child"), "root", F.concat("steps", "path").alias("path"), F.concat("used", "__used").alias("used")), "hierarchy")
+        if longer.isEmpty():
+            break
+        every.append(longer)
+        if max_depth is not None and not longer.where(F.size("used") > max_depth).isEmpty():
             raise ValueError(f"paths below {name!r} go beyond a depth of {max_depth}")
-        found.append(frontier)
-        step = edges.select(F.col("child").alias("__next"), F.col("parent").alias("child"))
-        hop = F.concat_ws(">", F.col("__next").cast("string"), F.col("child").cast("string"))
-        longer = frontier.join(step, "child").withColumn("__hop", hop).where(~F.array_contains("used", F.col("__hop")))
-        frontier = materialize(longer.select(
-            F.col("__next").alias("child"), "root", F.concat(F.array("__next"), F.col("path")).alias("path"),
-            F.concat("used", F.array("__hop")).alias("used")), "hierarchy")
-    every = reduce(DataFrame.union, found) if found else frontier
-    return every.select("child", "root", (F.size("path") - 1).cast("bigint").alias("depth"), "path")
+        upper = runs.select(F.col("low").alias("__low"), F.col("top").alias("__top"), F.col("steps").alias("__steps"), F.col("used").alias("__used"))
+        runs = materialize(runs.join(upper, F.col("top") == F.col("__low")).where(~F.arrays_overlap("used", "__used")).select(
+            "low", F.col("__top").alias("top"), F.concat("steps", "__steps").alias("steps"), F.concat("used", "__used").alias("used")), "runs")
+    return paths.where(F.size("used") > 0).select("child", "root", F.size("used").cast("bigint").alias("depth"), "path")
 
 
 def by_domain_purpose(functions: DataFrame, domain: str | None = None, purpose: str | None = None, technology: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import edges, graph
+from codequarry.session import materialize
 
 # id, name, qualified_name, file_path, line_start: a name in two files, a namesake pair in one file, a nested one
 FUNCTIONS = [
@@ -217,6 +218,32 @@ def test_class_hierarchy_trails_in_a_cycle(spark, rows):
     assert rows(graph.class_hierarchy(inherits, classes, "none"), "path") == []
 
 
+def test_class_hierarchy_equals_a_walk(spark, rows):
+    """Diamonds, a repeated edge, a self edge, cycles and NULL ends, against a walk edge by edge."""
+    rng = random.Random(4)
+    for trial in range(3):
+        pairs = [(rng.randrange(9), rng.randrange(9)) for _ in range(12)] + [(1, 0), (2, 0), (3, 1), (3, 2), (3, 2)]
+        want, open_ = [], [([0], [])]
+        while open_:
+            path, used = open_.pop()
+            for edge in set(pairs) - set(used):
+                if edge[1] == path[0]:
+                    open_.append(([edge[0], *path], [*used, edge]))
+                    want.append((edge[0], 0, len(path), [edge[0], *path]))
+        inherits = spark.createDataFrame(pairs + [(None, 0), (5, None)], "src int, dst int")
+        classes = spark.createDataFrame([(i, "R" if i == 0 else "x") for i in range(9)] + [(None, "R")], "id int, name string")
+        assert rows(graph.class_hierarchy(inherits, classes, "R")) == sorted(want, key=repr)
+
+
+def test_class_hierarchy_of_a_long_chain(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    inherits = spark.range(1, 501).selectExpr("id AS src", "id - 1 AS dst")
+    got = graph.class_hierarchy(inherits, spark.createDataFrame([(0, "A")], "id bigint, name string"), "A")
+    assert got.agg(F.count("*"), F.max("depth"), F.max(F.size("path")), F.min(F.element_at("path", 1) - F.col("child"))).first() == (500, 500, 501, 0)
+    assert written.count("runs") <= 10  # one join per doubling, not per level
+
+
 def test_group_links_and_partners(spark, rows):
     df = spark.createDataFrame([(1, "f", "x"), (2, "f", "x"), (3, "c", "x"), (4, "f", "y"), (5, "f", None), (6, "f", "")], "id int, node_type string, purpose string")
     links = edges.group_links(df, "purpose")
