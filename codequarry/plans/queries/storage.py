@@ -80,6 +80,23 @@ def analysis_document(t: Inputs):
     return functions.select("id", "name", "location.file_path", F.col("complexity").cast("bigint"))
 
 
+@query(
+    "analysis_in_one_document",
+    """SELECT 'function' AS kind, CAST(id AS VARCHAR) AS id, name, CAST(complexity AS VARCHAR) AS detail, docstring FROM {b_functions}
+       UNION ALL SELECT 'metadata', NULL, NULL, CAST((SELECT count(*) FROM {b_functions}) + (SELECT count(*) FROM {b_classes}) AS VARCHAR), NULL""",
+)
+def analysis_in_one_document(t: Inputs):
+    """Functions and metadata out of one JSON document that many tasks read by byte ranges."""
+    path = scratch_path(t.spark, "document")
+    functions = t.b_functions.select(F.col("id").cast("string"), "node_type", "name", "complexity", "docstring")
+    nodes = functions.unionByName(t.b_classes.select(F.col("id").cast("string"), "node_type", "name"), True)
+    documents.write_analysis_document(nodes.agg(F.count(F.lit(1)).alias("total_nodes")), nodes, path)
+    found = documents.read_analysis(t.spark, path, kind="function", range_bytes=1 << 20)
+    meta = documents.read_analysis_metadata(t.spark, path, range_bytes=1 << 20)
+    return found.select(F.lit("function").alias("kind"), "id", "name", F.col("complexity").cast("string").alias("detail"), "docstring").union(
+        meta.select(F.lit("metadata"), F.lit(None), F.lit(None), F.col("total_nodes").cast("string"), F.lit(None)))
+
+
 @query(
     "session_store",
     """SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS BIGINT) AS place,

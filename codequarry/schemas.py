@@ -30,8 +30,8 @@ ANALYSIS = f"analysis_metadata {_struct(METADATA)}, nodes ARRAY<{_struct(NODE)}>
 
 MESSAGE = "id STRING, type STRING, content STRING, timestamp STRING"
 SESSION_ROW = "id STRING, title STRING, created_at STRING, last_message_at STRING, attached_sources ARRAY<STRING>"
-SESSION_STORE = f"""sessions ARRAY<STRUCT<id: STRING, title: STRING, created_at: STRING, last_message_at: STRING,
-    messages: ARRAY<{_struct(MESSAGE)}>, attached_sources: ARRAY<STRING>>>"""
+SESSION = f"""id STRING, title STRING, created_at STRING, last_message_at STRING, messages ARRAY<{_struct(MESSAGE)}>,
+    attached_sources ARRAY<STRING>"""
 MESSAGE_BLOCK = f"session_id STRING, block BIGINT, messages ARRAY<{_struct(MESSAGE)}>"
 
 SITE = "title STRING, url STRING, description STRING"
