@@ -43,9 +43,10 @@ def stem(path: Column) -> Column:
     return F.substring_index(base_name(path), ".", 1)
 
 
-def entity_id(path: Column, name: Column, line: Column) -> Column:
-    """First 16 hex digits of the MD5 of ``path:name:line``."""
-    return F.substring(F.md5(F.concat_ws(":", path, name, line.cast("string"))), 1, 16)
+def entity_id(path: Column, name: Column, line: Column, repo: Column | None = None) -> Column:
+    """First 16 hex digits of the MD5 of ``path:name:line``, of ``repo:path:name:line`` where a repository is given."""
+    within = [] if repo is None else [repo.cast("string")]
+    return F.substring(F.md5(F.concat_ws(":", *within, path, name, line.cast("string"))), 1, 16)
 
 
 def module_path(path: Column) -> Column:

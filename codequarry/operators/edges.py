@@ -5,6 +5,9 @@ dimension to one row per key before the join.  Relations that are complete
 within a group (same name, same purpose, same file) are kept in two halves that
 meet in a hub - who reaches the hub, who belongs to it - so their size is
 linear; ``expand`` multiplies them out where single edges are wanted.
+
+Tables that hold several repositories say so in a column ``repo_id`` (never
+NULL) on every input; names, paths and modules then meet within one only.
 """
 
 from __future__ import annotations
@@ -33,16 +36,40 @@ def _edge(kind: str, src: str, dst: str) -> list[Column]:
     return [F.col(src).alias("src"), F.lit(kind).alias("type"), F.col(dst).alias("dst")]
 
 
+def repo_of(*tables: DataFrame) -> list[str]:
+    """The repository column, if the tables have one; all of them or none."""
+    have = {"repo_id" in t.columns for t in tables}
+    if len(have) > 1:
+        raise ValueError("repo_id is missing from some of the tables")
+    return ["repo_id"] if have == {True} else []
+
+
+def within(repo: list[str], value: Column | str) -> Column:
+    """A text that is a key in its repository, as a key among all."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.concat(F.col("repo_id").cast("string"), F.lit(":"), value) if repo else value
+
+
+def _known(files: DataFrame, repo: list[str]) -> DataFrame:
+    return files.select(*repo, F.col("path").alias("file_path"))
+
+
+def _file_edge(kind: str, rows: DataFrame, repo: list[str], src: str, dst: str) -> DataFrame:
+    """Edges between files and entities; a file is named by repository and path."""
+    key = lambda c: within(repo, c) if c == "file_path" else F.col(c)
+    return rows.select(key(src).alias("src"), F.lit(kind).alias("type"), key(dst).alias("dst"))
+
+
 def defined_in(entities: DataFrame, files: DataFrame) -> DataFrame:
     """Function or class -> file."""
-    known = files.select(F.col("path").alias("file_path"))
-    return entities.join(known, "file_path").select(*_edge("DEFINED_IN", "id", "file_path"))
+    repo = repo_of(entities, files)
+    return _file_edge("DEFINED_IN", entities.join(_known(files, repo), [*repo, "file_path"]), repo, "id", "file_path")
 
 
 def defines(files: DataFrame, entities: DataFrame) -> DataFrame:
     """File -> function or class."""
-    known = files.select(F.col("path").alias("file_path"))
-    return known.join(entities, "file_path").select(*_edge("DEFINES", "file_path", "id"))
+    repo = repo_of(files, entities)
+    return _file_edge("DEFINES", _known(files, repo).join(entities, [*repo, "file_path"]), repo, "file_path", "id")
 
 
 def has_parameter(functions: DataFrame) -> DataFrame:
@@ -60,30 +87,31 @@ def modules(imports: DataFrame) -> DataFrame:
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """File -> import, and import -> module."""
-    known = files.select(F.col("path").alias("file_path"))
-    owned = imports.withColumn("id", F.col("id").cast("string")).join(known, "file_path")
+    repo = repo_of(imports, files)
+    owned = imports.withColumn("id", F.col("id").cast("string")).join(_known(files, repo), [*repo, "file_path"])
     named = imports.where(F.col("module").isNotNull()).withColumn("id", F.col("id").cast("string"))
-    return owned.select(*_edge("IMPORTS", "file_path", "id")).union(named.select(*_edge("FROM_MODULE", "id", "module")))
+    return _file_edge("IMPORTS", owned, repo, "file_path", "id").union(named.select(*_edge("FROM_MODULE", "id", "module")))
 
 
 def _resolve(refs: DataFrame, entities: DataFrame, kind: str) -> DataFrame:
-    """Edges from ``refs(src, file_path, ref)`` to entities.
+    """Edges from ``refs(src[, repo_id], file_path, ref)`` to entities.
 
     The entity qualified as ``module.ref`` wins (the last loaded of several),
     unless it is the source itself; else the first loaded entity named ``ref``
     that is not the source.  The two first per name suffice for that.
     """
-    listed = entities.select("id", "name", "qualified_name", *[c for c in LOAD_ORDER if c != "id"])
+    repo = repo_of(refs, entities)
+    listed = entities.select(*repo, "id", "name", "qualified_name", *[c for c in LOAD_ORDER if c != "id"])
     qualified = first_per_key(
-        listed.where(F.col("qualified_name").isNotNull()).select("qualified_name", *LOAD_ORDER), ["qualified_name"], LOAD_ORDER, last=True
-    ).select(F.col("qualified_name").alias("__key"), F.col("id").alias("__qualified"))
-    two = top_n(listed.where(F.col("name").isNotNull()).select("name", *LOAD_ORDER), ["name"], LOAD_ORDER, 2, "__rank")
-    named = two.groupBy(F.col("name").alias("ref")).agg(
+        listed.where(F.col("qualified_name").isNotNull()).select(*repo, "qualified_name", *LOAD_ORDER), [*repo, "qualified_name"], LOAD_ORDER, last=True
+    ).select(*repo, F.col("qualified_name").alias("__key"), F.col("id").alias("__qualified"))
+    two = top_n(listed.where(F.col("name").isNotNull()).select(*repo, "name", *LOAD_ORDER), [*repo, "name"], LOAD_ORDER, 2, "__rank")
+    named = two.groupBy(*repo, F.col("name").alias("ref")).agg(
         F.max(F.when(F.col("__rank") == 1, F.col("id"))).alias("__first"),
         F.max(F.when(F.col("__rank") == 2, F.col("id"))).alias("__second"),
     )
     keyed = refs.withColumn("__key", F.concat(paths.module_path(F.col("file_path")), F.lit("."), F.col("ref")))
-    joined = keyed.join(qualified, "__key", "left").join(named, "ref", "left")
+    joined = keyed.join(qualified, [*repo, "__key"], "left").join(named, [*repo, "ref"], "left")
     exact = F.when(F.col("__qualified") != F.col("src"), F.col("__qualified"))
     by_name = F.when(F.col("__first") != F.col("src"), F.col("__first")).otherwise(F.col("__second"))
     return (
@@ -98,16 +126,18 @@ def _resolve(refs: DataFrame, entities: DataFrame, kind: str) -> DataFrame:
 
 def calls(functions: DataFrame, called: DataFrame) -> DataFrame:
     """CALLS edges; ``called(caller_id, called_name)``."""
-    refs = called.join(functions.select(F.col("id").alias("caller_id"), "file_path"), "caller_id").select(
-        F.col("caller_id").alias("src"), "file_path", F.col("called_name").alias("ref")
+    repo = repo_of(functions)
+    refs = called.select("caller_id", "called_name").join(functions.select(*repo, F.col("id").alias("caller_id"), "file_path"), "caller_id").select(
+        *repo, F.col("caller_id").alias("src"), "file_path", F.col("called_name").alias("ref")
     )
     return _resolve(refs, functions, "CALLS")
 
 
 def inherits(classes: DataFrame, bases: DataFrame) -> DataFrame:
     """INHERITS edges; ``bases(class_id, base)``."""
-    refs = bases.join(classes.select(F.col("id").alias("class_id"), "file_path"), "class_id").select(
-        F.col("class_id").alias("src"), "file_path", F.col("base").alias("ref")
+    repo = repo_of(classes)
+    refs = bases.select("class_id", "base").join(classes.select(*repo, F.col("id").alias("class_id"), "file_path"), "class_id").select(
+        *repo, F.col("class_id").alias("src"), "file_path", F.col("base").alias("ref")
     )
     return _resolve(refs, classes, "INHERITS").drop("called_name")
 
@@ -174,31 +204,36 @@ def import_targets(imports: DataFrame, entities: DataFrame) -> DataFrame:
     A target is named like the item, and its path contains the module as a
     path or ends with ``module.py``.
     """
-    wanted = materialize(imports.where(F.col("module").isNotNull()).select("module", "item").distinct(), "wanted")
+    repo = repo_of(imports, entities)
+    scope = lambda name: (F.struct(*repo, F.col(name).alias("name")) if repo else F.col(name)).alias("scope")
+    wanted = materialize(imports.where(F.col("module").isNotNull()).select(*repo, "module", "item").distinct(), "wanted")
     pattern, ending = F.replace("module", F.lit("."), F.lit("/")), F.concat("module", F.lit(".py"))
-    keyed = wanted.select("module", F.col("item").alias("scope"), F.inline(F.array(
+    keyed = wanted.select("module", scope("item"), F.inline(F.array(
         F.struct(F.lit(False).alias("last"), pattern.alias("piece")), F.struct(F.lit(True).alias("last"), ending.alias("piece")))))
-    named = entities.select("id", F.col("name").alias("scope"), "node_type", F.col("file_path").alias("path"))
+    named = entities.select("id", scope("name"), "node_type", F.col("file_path").alias("path"))
     met = contained(keyed.select("scope", "piece"), named.select("scope", "path"))
     found = keyed.join(met, ["scope", "piece"]).where(~F.col("last") | F.endswith("path", F.col("piece"))).select("scope", "module", "path").distinct()
-    return found.join(named, ["scope", "path"]).select("module", F.col("scope").alias("item"), "id", "node_type").distinct()
+    item = [F.col("scope.repo_id"), F.col("scope.name").alias("item")] if repo else [F.col("scope").alias("item")]
+    return found.join(named, ["scope", "path"]).select(*item[:-1], "module", item[-1], "id", "node_type").distinct()
 
 
 def resolves_from_import(imports: DataFrame, targets: DataFrame) -> DataFrame:
     """Import -> entity edges from the targets of (module, item)."""
-    return imports.join(targets, ["module", "item"]).select(
+    return imports.join(targets, [*repo_of(imports, targets), "module", "item"]).select(
         F.col("import_id").alias("src"), F.lit("RESOLVES_TO").alias("type"), F.col("id").alias("dst")
     ).distinct()
 
 
 def module_targets(imports: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities meant by ``import module``: named like their ``.py`` file, path containing the module."""
-    anywhere, path = F.lit(0).alias("scope"), F.col("file_path").alias("path")
-    wanted = materialize(imports.where(F.col("module").isNotNull()).select("module").distinct(), "wanted")
+    repo = repo_of(imports, entities)
+    anywhere, path = (F.col("repo_id") if repo else F.lit(0)).alias("scope"), F.col("file_path").alias("path")
+    wanted = materialize(imports.where(F.col("module").isNotNull()).select(*repo, "module").distinct(), "wanted")
     wanted = wanted.withColumn("piece", F.replace("module", F.lit("."), F.lit("/")))
     mains = entities.where(F.endswith("file_path", F.lit(".py")) & (F.col("name") == paths.stem(F.col("file_path"))))
     met = contained(wanted.select(anywhere, "piece"), mains.select(anywhere, path))
-    return wanted.join(met, "piece").join(mains.select("id", "node_type", path), "path").select("module", "id", "node_type").distinct()
+    found = wanted.withColumn("scope", anywhere).join(met, ["scope", "piece"]).join(mains.select(anywhere, "id", "node_type", path), ["scope", "path"])
+    return found.select(*repo, "module", "id", "node_type").distinct()
 
 
 def import_groups(imports: DataFrame) -> DataFrame:
@@ -207,8 +242,9 @@ def import_groups(imports: DataFrame) -> DataFrame:
     Files importing an item from the same modules share the owner, so what the
     item can mean is kept once for all of them.
     """
-    grouped = imports.where(F.col("module").isNotNull()).groupBy("file_path", "item").agg(F.array_sort(F.collect_set("module")).alias("modules"))
-    return grouped.withColumn("owner", F.array_join("modules", "|"))
+    repo = repo_of(imports)
+    grouped = imports.where(F.col("module").isNotNull()).groupBy(*repo, "file_path", "item").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+    return grouped.withColumn("owner", within(repo, F.array_join("modules", "|")))
 
 
 def call_members(functions: DataFrame, membership: DataFrame, imports: DataFrame, targets: DataFrame) -> DataFrame:
@@ -218,15 +254,16 @@ def call_members(functions: DataFrame, membership: DataFrame, imports: DataFrame
     a set of modules, or anywhere.  ``imports(file_path, module, item)`` and
     ``targets(module, item, id, node_type)``.
     """
-    named = functions.select(F.col("id").alias("function_id"), "file_path", "name")
+    repo = repo_of(functions, imports, targets)
+    named = functions.select(*repo, F.col("id").alias("function_id"), "file_path", "name")
     scoped = named.select("function_id", F.inline(F.array(
-        F.struct(F.lit("local").alias("scope"), F.col("file_path").alias("owner"), F.col("name").alias("name")),
-        F.struct(F.lit("global").alias("scope"), F.lit("").alias("owner"), F.col("name").alias("name")),
+        F.struct(F.lit("local").alias("scope"), within(repo, "file_path").alias("owner"), F.col("name").alias("name")),
+        F.struct(F.lit("global").alias("scope"), within(repo, F.lit("")).alias("owner"), F.col("name").alias("name")),
     )))
     methods = named.join(membership, "function_id").select("function_id", F.lit("method").alias("scope"), F.col("class_id").alias("owner"), "name")
-    sources = import_groups(imports).select("owner", "item", "modules").distinct().select("owner", "item", F.explode("modules").alias("module"))
-    meant = targets.where("node_type = 'function'").select("module", "item", F.col("id").alias("function_id"))
-    brought = sources.join(meant, ["module", "item"]).select("function_id", F.lit("imported").alias("scope"), "owner", F.col("item").alias("name")).distinct()
+    sources = import_groups(imports).select(*repo, "owner", "item", "modules").distinct().select(*repo, "owner", "item", F.explode("modules").alias("module"))
+    meant = targets.where("node_type = 'function'").select(*repo, "module", "item", F.col("id").alias("function_id"))
+    brought = sources.join(meant, [*repo, "module", "item"]).select("function_id", F.lit("imported").alias("scope"), "owner", F.col("item").alias("name")).distinct()
     return scoped.union(methods).union(brought)
 
 
@@ -237,16 +274,17 @@ def call_sites(functions: DataFrame, called: DataFrame, membership: DataFrame, i
     scope only when none of them does.  A function does not mean itself,
     except through an import.
     """
-    caller = functions.select(F.col("id").alias("caller_id"), "file_path", F.col("name").alias("__own"))
+    repo = repo_of(functions, imports)
+    caller = functions.select(*repo, F.col("id").alias("caller_id"), "file_path", F.col("name").alias("__own"))
     classes = membership.select(F.col("function_id").alias("caller_id"), "class_id")
-    brought = import_groups(imports).select("file_path", F.col("item").alias("called_name"), F.col("owner").alias("modules"))
-    named = called.where(F.coalesce(F.col("called_name"), F.lit("")) != "").distinct()
-    placed = named.join(caller, "caller_id").join(classes, "caller_id", "left").join(brought, ["file_path", "called_name"], "left")
+    brought = import_groups(imports).select(*repo, "file_path", F.col("item").alias("called_name"), F.col("owner").alias("modules"))
+    named = called.where(F.coalesce(F.col("called_name"), F.lit("")) != "").select("caller_id", "called_name").distinct()
+    placed = named.join(caller, "caller_id").join(classes, "caller_id", "left").join(brought, [*repo, "file_path", "called_name"], "left")
     options = F.array(
-        F.struct(F.lit("local").alias("scope"), F.col("file_path").alias("owner")),
+        F.struct(F.lit("local").alias("scope"), within(repo, "file_path").alias("owner")),
         F.struct(F.lit("imported").alias("scope"), F.col("modules").alias("owner")),
         F.struct(F.lit("method").alias("scope"), F.col("class_id").alias("owner")),
-        F.struct(F.lit("global").alias("scope"), F.lit("").alias("owner")),
+        F.struct(F.lit("global").alias("scope"), within(repo, F.lit("")).alias("owner")),
     )
     reach = placed.select("caller_id", "called_name", (F.col("__own") == F.col("called_name")).alias("__same"), F.inline(options))
     sizes = members.groupBy("scope", "owner", F.col("name").alias("called_name")).agg(F.count(F.lit(1)).alias("size"))
@@ -317,7 +355,7 @@ def same_domain(entities: DataFrame) -> DataFrame:
 
 
 def same_module(entities: DataFrame) -> DataFrame:
-    return group_links(entities, "file_path")
+    return group_links(entities.withColumn("file_path", within(repo_of(entities), "file_path")), "file_path")
 
 
 def partners_of(requests: DataFrame, links: DataFrame) -> DataFrame:

@@ -183,6 +183,11 @@ def _heads(files: DataFrame, pattern: str, starts: list[str]) -> DataFrame:
     return outline.select(*keep, F.inline(F.transform(F.array_compact(numbers), described)))
 
 
+def _repo(files: DataFrame) -> Column | None:
+    """The repository of each file, where files say it."""
+    return F.col("repo_id") if "repo_id" in files.columns else None
+
+
 def _entity(heads: DataFrame, name: Column, node_type: str) -> DataFrame:
     """Identity and extent columns shared by all entity kinds."""
     node = F.ltrim(F.array_join("body", "\n"), F.lit(BLANKS))
@@ -205,7 +210,7 @@ def extract_functions(files: DataFrame, annotated: bool = True) -> DataFrame:
     named = _entity(heads, group(2), "function").withColumn("parameters", parameter_names(group(3)))
     return named.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
-        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start")).alias("id"),
+        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start"), _repo(files)).alias("id"),
         "node_type", "name",
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "opener", "language",
@@ -226,7 +231,7 @@ def extract_classes(files: DataFrame) -> DataFrame:
     bases = F.regexp_extract("head", CLASS_HEAD, 2)
     return named.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
-        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start")).alias("id"),
+        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start"), _repo(files)).alias("id"),
         "node_type", "name",
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "language",
@@ -297,7 +302,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
     line_name = F.concat(F.lit("import_"), F.col("line_start").cast("string"))
     return rows.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
-        paths.entity_id(F.col("path"), line_name, F.col("line_start")).alias("id"),
+        paths.entity_id(F.col("path"), line_name, F.col("line_start"), _repo(files)).alias("id"),
         F.lit("import").alias("node_type"),
         import_module(F.col("content")).alias("name"),
         F.col("path").alias("file_path"), "line_start", "line_end", "column_start",

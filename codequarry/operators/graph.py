@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text
 from codequarry.functions.ranking import top_n
 from codequarry.operators import search
+from codequarry.operators.edges import repo_of
 from codequarry.session import materialize
 
 
@@ -49,37 +50,38 @@ def _best(candidates: DataFrame, by: list[str]) -> DataFrame:
 def go_to_definition(requests: DataFrame, functions: DataFrame, files: DataFrame, membership: DataFrame, imports: DataFrame, targets: DataFrame) -> DataFrame:
     """One definition per request, searched in the file, its imports, the caller's class, anywhere.
 
-    ``requests(request_id, caller_file, caller_function, function_name)``;
-    the caller's file must exist.  Each scope offers one best function per key,
+    ``requests(request_id[, repo_id], caller_file, caller_function, function_name)``;
+    the caller's file must exist; with ``repo_id`` in all tables nothing beyond the caller's repository is found.  Each scope offers one best function per key,
     so a request meets at most one row per scope (and class of the caller).
     """
-    asked = requests.join(files.select(F.col("path").alias("caller_file")), "caller_file", "left_semi")
-    card = functions.select("id", "name", "file_path", "line_start", "github_url", "docstring")
-    local = _best(card.withColumn("caller_file", F.col("file_path")), ["caller_file", "name"])
+    repo = repo_of(requests, functions, files, imports, targets)
+    asked = requests.join(files.select(*repo, F.col("path").alias("caller_file")), [*repo, "caller_file"], "left_semi")
+    card = functions.select(*repo, "id", "name", "file_path", "line_start", "github_url", "docstring")
+    local = _best(card.withColumn("caller_file", F.col("file_path")), [*repo, "caller_file", "name"])
     # the best target per module, then per file importing from it
-    meant = _best(targets.select("module", "item", "id").join(card, "id").where(F.col("name") == F.col("item")), ["module", "item"])
-    through = imports.select(F.col("file_path").alias("caller_file"), "module", "item").distinct().join(meant, ["module", "item"])
-    through = through.groupBy("caller_file", F.col("item").alias("name")).agg(F.min("best").alias("best"))
+    meant = _best(targets.select("module", "item", "id").join(card, "id").where(F.col("name") == F.col("item")), [*repo, "module", "item"])
+    through = imports.select(*repo, F.col("file_path").alias("caller_file"), "module", "item").distinct().join(meant, [*repo, "module", "item"])
+    through = through.groupBy(*repo, "caller_file", F.col("item").alias("name")).agg(F.min("best").alias("best"))
     held = membership.select(F.col("function_id").alias("id"), "class_id")
     methods = _best(card.join(held, "id"), ["class_id", "name"])
-    anywhere = _best(card, ["name"])
+    anywhere = _best(card, [*repo, "name"])
 
     wanted = asked.withColumnRenamed("function_name", "name")
     homes = card.join(held, "id").select(
-        F.col("file_path").alias("caller_file"), F.col("name").alias("caller_function"), "class_id"
+        *repo, F.col("file_path").alias("caller_file"), F.col("name").alias("caller_function"), "class_id"
     ).distinct()
     # each distinct (file, caller name, called name) meets the caller's classes once
-    triple = ["caller_file", "caller_function", "name"]
+    triple = [*repo, "caller_file", "caller_function", "name"]
     reachable = (
-        wanted.select(*triple).distinct().join(homes, ["caller_file", "caller_function"])
+        wanted.select(*triple).distinct().join(homes, [*repo, "caller_file", "caller_function"])
         .join(methods, ["class_id", "name"]).groupBy(*triple).agg(F.min("best").alias("best"))
     )
-    here = ["caller_file", "name"]
+    here = [*repo, "caller_file", "name"]
     found = (
         wanted.join(local.withColumnRenamed("best", "b1"), here, "left")
         .join(through.withColumnRenamed("best", "b2"), here, "left")
         .join(reachable.withColumnRenamed("best", "b3"), triple, "left")
-        .join(anywhere.withColumnRenamed("best", "b4"), "name", "left")
+        .join(anywhere.withColumnRenamed("best", "b4"), [*repo, "name"], "left")
     )
     best = F.coalesce("b1", "b2", "b3", "b4")
     kind = (
