@@ -183,9 +183,9 @@ def _heads(files: DataFrame, pattern: str, starts: list[str]) -> DataFrame:
     return outline.select(*keep, F.inline(F.transform(F.array_compact(numbers), described)))
 
 
-def _repo(files: DataFrame) -> Column | None:
-    """The repository of each file, where files say it."""
-    return F.col("repo_id") if "repo_id" in files.columns else None
+def _repo(per_repo: bool) -> Column | None:
+    """What tells ids of equal places in several repositories apart."""
+    return F.col("repo_id") if per_repo else None
 
 
 def _entity(heads: DataFrame, name: Column, node_type: str) -> DataFrame:
@@ -202,15 +202,15 @@ def _entity(heads: DataFrame, name: Column, node_type: str) -> DataFrame:
     )
 
 
-def extract_functions(files: DataFrame, annotated: bool = True) -> DataFrame:
-    """Function rows; ``annotated=False`` leaves out heads with a return annotation."""
+def extract_functions(files: DataFrame, annotated: bool = True, per_repo: bool = False) -> DataFrame:
+    """Function rows; ``annotated=False`` leaves out heads with a return annotation, ``per_repo`` makes ``repo_id`` part of the ids."""
     pattern = FUNCTION_HEAD if annotated else STRICT_FUNCTION_HEAD
     heads = _heads(files, pattern, FUNCTION_STARTS)
     group = lambda i: F.regexp_extract("head", pattern, i)
     named = _entity(heads, group(2), "function").withColumn("parameters", parameter_names(group(3)))
     return named.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
-        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start"), _repo(files)).alias("id"),
+        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start"), _repo(per_repo)).alias("id"),
         "node_type", "name",
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "opener", "language",
@@ -224,14 +224,14 @@ def extract_functions(files: DataFrame, annotated: bool = True) -> DataFrame:
     )
 
 
-def extract_classes(files: DataFrame) -> DataFrame:
+def extract_classes(files: DataFrame, per_repo: bool = False) -> DataFrame:
     """Class rows with base names and the names of the methods directly inside."""
     heads = _heads(files, CLASS_HEAD, CLASS_STARTS)
     named = _entity(heads, F.regexp_extract("head", CLASS_HEAD, 1), "class")
     bases = F.regexp_extract("head", CLASS_HEAD, 2)
     return named.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
-        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start"), _repo(files)).alias("id"),
+        paths.entity_id(F.col("path"), F.col("name"), F.col("line_start"), _repo(per_repo)).alias("id"),
         "node_type", "name",
         paths.qualified_name(F.col("path"), F.col("name")).alias("qualified_name"),
         "file_path", "line_start", "line_end", "column_start", "column_end", "language",
@@ -277,7 +277,7 @@ def import_module(statement: Column) -> Column:
     )
 
 
-def extract_imports(files: DataFrame) -> DataFrame:
+def extract_imports(files: DataFrame, per_repo: bool = False) -> DataFrame:
     """Import rows; a parenthesised list is read to its closing line."""
     listed = files.withColumn("lines", F.split("content", "\n"))
     closing = F.transform("lines", lambda x: F.contains(x, F.lit(")")))
@@ -302,7 +302,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
     line_name = F.concat(F.lit("import_"), F.col("line_start").cast("string"))
     return rows.select(
         *[c for c in files.columns if c in ("repo_id", "idx")],
-        paths.entity_id(F.col("path"), line_name, F.col("line_start"), _repo(files)).alias("id"),
+        paths.entity_id(F.col("path"), line_name, F.col("line_start"), _repo(per_repo)).alias("id"),
         F.lit("import").alias("node_type"),
         import_module(F.col("content")).alias("name"),
         F.col("path").alias("file_path"), "line_start", "line_end", "column_start",
