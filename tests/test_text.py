@@ -140,3 +140,12 @@ def test_safe_file_name(spark):
 
 def test_tokens(spark):
     assert column(spark, ["", "a", "abcdefghijkl", None], text.estimate_tokens) == [0, 1, 2, 0]
+
+
+def test_references_alone_go_to_python(spark):
+    """The texts between references stay out of Python, whose memory would grow with them."""
+    values = ["&amp;&lt;x &copy y &#38; &#x26;amp; &nosuch; &", "plain", "", "\u00e9&#128512;&&amp;", "&" + "q" * 40 + ";&gt"]
+    assert column(spark, values, text.decode_references) == [html.unescape(v) for v in values]
+    plan = spark.createDataFrame([("a",)], "v string").select(text.clean_markup(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "unescape" in line)
+    assert "unescape_all(regexp_extract_all(" in sent or "unescape_all(_" in sent or "unescape_all(found" in sent, sent
