@@ -301,3 +301,40 @@ def test_large_hubs_are_cut_into_blocks(spark, rows):
     want = [(c[0], "CALLS_GLOBAL", f[0], c[1]) for c in sites for f in members if f[1] == "global" and f[3] == c[1] and f[0] != c[0]]
     for block in (7, 4096):
         assert rows(edges.expand_calls(s, m, block), "src", "type", "dst", "called_name") == sorted(want, key=repr)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_tables_are_not_broadcast(spark, scoped):
+    """What the optimizer takes for small by its files must not go through the driver whole."""
+    _, _, _, _, sites, f_df = scoped
+    assert "BroadcastHashJoin" not in _plan(graph.callers_of(materialize(sites), f_df.limit(5), "p"))
+    fs = functions(spark).limit(5)
+    files = fs.select(F.col("file_path").alias("path")).distinct()
+    membership = spark.createDataFrame([("b2", "K")], "function_id string, class_id string")
+    imports = spark.createDataFrame([("c.py", "pkg.b", "load")], "file_path string, module string, item string")
+    targets = spark.createDataFrame([("pkg.b", "load", "b1")], "module string, item string, id string")
+    requests = spark.createDataFrame([(1, "c.py", "solo", "load")], "request_id int, caller_file string, caller_function string, function_name string")
+    assert "BroadcastHashJoin" not in _plan(graph.go_to_definition(requests, fs, files, membership, imports, targets))
+
+
+def test_memberships_are_not_broadcast(spark):
+    import __spark_entry__ as entry
+
+    assert "BroadcastHashJoin" not in _plan(entry.queries()["source_memberships"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_function_listed_twice_has_its_sites_once(spark, rows):
+    """Near calls of one listing rule out far ones of another; equal sites are one."""
+    fs = spark.createDataFrame(
+        [("a", "x", "one.py"), ("a", "x", "two.py"), ("a", "x", "one.py"), ("b", "y", "one.py"), ("c", "y", "three.py")],
+        "id string, name string, file_path string")
+    called_rows = spark.createDataFrame([("a", "y"), ("a", "y"), ("a", None)], "caller_id string, called_name string")
+    membership = spark.createDataFrame([("a", "K"), ("c", "K"), ("a", None)], "function_id string, class_id string")
+    imports = no_edges(spark, "file_path string, module string, item string")
+    targets = no_edges(spark, "module string, item string, id string, node_type string")
+    members = edges.call_members(fs, membership, imports, targets)
+    got = rows(edges.call_sites(fs, called_rows, membership, imports, members), "caller_id", "scope", "owner", "n_targets")
+    assert got == [("a", "local", "one.py", 1), ("a", "method", "K", 1)]

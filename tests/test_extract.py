@@ -161,3 +161,14 @@ def test_block_spans_like_a_stack(spark):
     df = spark.createDataFrame(list(enumerate(files)), "n int, indents array<int>").repartition(3)
     for r in df.select("indents", extract.block_spans("indents").alias("s")).collect():
         assert (r["s"]["ends"], r["s"]["openers"]) == spans_by_stack(r["indents"])
+
+
+def test_source_rows_are_dealt_by_their_number(spark, tmp_path):
+    """One small file of many narrow rows makes as many tasks as its texts need."""
+    from codequarry.session import dealt
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert dealt(table, 20).rdd.getNumPartitions() == 50
+    assert sorted(r[0] for r in dealt(table, 20).collect()) == list(range(1000))
+    assert dealt(table.repartition(60), 20).rdd.getNumPartitions() == 60
