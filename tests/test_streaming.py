@@ -152,6 +152,25 @@ def test_attempts_and_what_is_set_aside(spark, tmp_path, rows):
         (1, "after the outcome", "end"), (2, "after the outcome", "start"), (2, "no start", "end"), (9, "unreadable", "start"), (9, "unreadable", None)]
 
 
+def test_attempts_of_one_bucket(spark, tmp_path, rows):
+    """All attempts in one list: woken for the earliest, judged and forgotten one by one, also after restarts."""
+    folder, root = str(tmp_path / "attempts"), str(tmp_path / "state")
+    at = lambda seconds: START + dt.timedelta(seconds=seconds)
+    blocks = [
+        [(1, "start", at(0)), (2, "end", at(5)), (3, "start", at(10)), (None, "start", at(10)), (4, "start", at(400))],
+        [(1, "end", at(100)), (None, "error", at(60)), (5, "start", at(600))],  # 2 has no start, 3 is timed out
+        [(3, "end", at(90)), (4, "end", at(500)), (5, "end", at(700))],
+        [(6, "start", at(200_000))], [(1, "start", at(200_000)), (1, "end", at(200_001))],  # 1 has been forgotten, then comes again
+    ]
+    for block in blocks:
+        spark.createDataFrame(block, "attempt_id bigint, kind string, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+        live.attempt_timeouts(live.read_events(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1), root=root, buckets=1)
+    outcomes = live.of_kind(spark, root, live._attempt_schema("bigint"), "outcome")
+    assert rows(outcomes, "attempt_id", "status", "duration_seconds") == [
+        (1, "completed", 1.0), (1, "completed", 100.0), (3, "timeout", 480.0), (4, "completed", 100.0), (5, "completed", 100.0), (None, "error", 50.0)]
+    assert rows(live.attempts_aside(spark, root), "attempt_id", "reason", "event") == [(2, "no start", "end"), (3, "after the outcome", "end")]
+
+
 def disordered(spark, folder, blocks):
     schema = "session_id bigint, event_id bigint, ts timestamp, status string"
     for block in blocks:
