@@ -172,3 +172,17 @@ def test_source_rows_are_dealt_by_their_number(spark, tmp_path):
     assert dealt(table, 20).rdd.getNumPartitions() == 50
     assert sorted(r[0] for r in dealt(table, 20).collect()) == list(range(1000))
     assert dealt(table.repartition(60), 20).rdd.getNumPartitions() == 60
+
+
+def test_columns_of_heads_alone_need_no_blocks(spark, rows):
+    """Heads of wanted columns are the same rows, found without the Python step that looks for block ends."""
+    text = "class A(B):\n    def f(self, x):\n        return g(x)\n\n\nasync def h(): pass\nclass C:"
+    files = spark.createDataFrame([(1, "a/b.py", text), (2, "c.py", None), (3, "d.py", "def k(y)  :\n")], "idx int, path string, content string")
+    for found in (extract.extract_functions, extract.extract_classes):
+        whole = found(files)
+        head = [c for c in whole.columns if c in extract.HEAD_COLUMNS]
+        few = found(files, columns=head)
+        assert few.columns == head and rows(few) == rows(whole, *head)
+        assert "ArrowEvalPython" in whole.select(*head)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in few._jdf.queryExecution().executedPlan().toString()
+        assert rows(found(files, columns=[*head, "content"])) == rows(whole, *head, "content")
