@@ -144,7 +144,7 @@ def analysis_kinds(t: Inputs):
     at = F.struct("file_path").alias("location")
     functions = t.b_functions.select(F.col("id").cast("string"), "node_type", "name", at, "complexity")
     classes = t.b_classes.select(F.col("id").cast("string"), "node_type", "name", at, F.array("base").alias("base_classes"))
-    imports = t.b_imports.select(
+    imports = t.once("b_imports").select(
         F.concat_ws("|", "file_path", "module", "item").alias("id"), F.lit("import").alias("node_type"), F.col("module").alias("name"), at,
         "module", F.array("item").alias("imports"),
     )

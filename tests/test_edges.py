@@ -338,3 +338,24 @@ def test_a_function_listed_twice_has_its_sites_once(spark, rows):
     members = edges.call_members(fs, membership, imports, targets)
     got = rows(edges.call_sites(fs, called_rows, membership, imports, members), "caller_id", "scope", "owner", "n_targets")
     assert got == [("a", "local", "one.py", 1), ("a", "method", "K", 1)]
+
+
+def test_edges_are_written_in_small_shares(spark, monkeypatch):
+    """Queries of many short rows bound the compressed bytes of a task, and leave the session's setting as it was."""
+    import __spark_entry__ as entry
+    from codequarry import session
+
+    seen, before = {}, spark.conf.get(session.ADVISORY)
+    path = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, label: seen.setdefault(label, path(s, label)))
+    sizes, bounded = [], session.task_bytes
+    monkeypatch.setattr(session, "task_bytes", lambda s, size: sizes.append(size) or bounded(s, size))
+    for name, label in [("call_edges", "call-edges"), ("import_edges", "b_imports"), ("analysis_kinds", "b_imports"), ("edge_patterns", "patterns")]:
+        seen.clear(), sizes.clear()
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert label in seen and sizes and set(sizes) == {session.TASK_BYTES}
+    assert spark.conf.get(session.ADVISORY) == before
+    with pytest.raises(ValueError), session.task_bytes(spark, "1m"):
+        assert spark.conf.get(session.ADVISORY) == "1m"
+        raise ValueError
+    assert spark.conf.get(session.ADVISORY) == before
