@@ -340,6 +340,19 @@ def test_a_function_listed_twice_has_its_sites_once(spark, rows):
     assert got == [("a", "local", "one.py", 1), ("a", "method", "K", 1)]
 
 
+def test_sites_are_not_gathered_by_call(spark):
+    """Sites of callers listed once are not shuffled again by caller and name."""
+    fs = spark.createDataFrame([("a", "x", "one.py"), ("b", "y", "one.py"), ("c", "z", "two.py")], "id string, name string, file_path string")
+    called_rows = spark.createDataFrame([("a", "y"), ("a", "z"), ("b", "y")], "caller_id string, called_name string")
+    membership = spark.createDataFrame([("a", "K"), ("b", "K")], "function_id string, class_id string")
+    imports = no_edges(spark, "file_path string, module string, item string")
+    members = edges.call_members(fs, membership, imports, no_edges(spark, "module string, item string, id string, node_type string"))
+    sites = edges.call_sites(fs, called_rows, membership, imports, members)
+    assert "Aggregate" not in _plan(sites)
+    assert sorted(tuple(r)[:5] for r in sites.collect()) == [
+        ("a", "y", "local", "one.py", 1), ("a", "y", "method", "K", 1), ("a", "z", "global", "", 1)]
+
+
 def test_edges_are_written_in_small_shares(spark, monkeypatch):
     """Queries of many short rows bound the compressed bytes of a task, and leave the session's setting as it was."""
     import __spark_entry__ as entry
