@@ -149,3 +149,16 @@ def test_references_alone_go_to_python(spark):
     plan = spark.createDataFrame([("a",)], "v string").select(text.clean_markup(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
     sent = next(line for line in plan.splitlines() if "unescape" in line)
     assert "unescape_all(regexp_extract_all(" in sent or "unescape_all(_" in sent or "unescape_all(found" in sent, sent
+
+
+def test_complexity_in_one_pass(spark):
+    values = ["x and and y", "x and and and y", "\nand and and y", "\nif if x", " if if\n", " elif  if or or or or x", "if x", ""]
+
+    def counted(value):
+        return 1 + sum(value.count(lead + k + " ") for k in text.DECISION_KEYWORDS for lead in " \n")
+
+    assert column(spark, values, text.complexity) == [counted(v) for v in values]
+    # keywords of several words are looked for one by one, as they may share words with others
+    assert column(spark, ["a not in b in c"], lambda t: text.complexity(t, ["not in", "in"])) == [4]
+    plan = spark.range(1).select(text.complexity(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "replace" not in plan
