@@ -186,3 +186,13 @@ def test_columns_of_heads_alone_need_no_blocks(spark, rows):
         assert "ArrowEvalPython" in whole.select(*head)._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in few._jdf.queryExecution().executedPlan().toString()
         assert rows(found(files, columns=[*head, "content"])) == rows(whole, *head, "content")
+
+
+def test_code_metrics_look_for_blocks_of_functions_only(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    orders = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    spark.createDataFrame([(1, 2, "O", 3.5, "1-URGENT")], orders).write.parquet(f"{tmp_path}/orders.parquet")
+    metrics = entry.queries()["source_code_metrics"](spark, str(tmp_path))
+    assert [tuple(r)[0::3] for r in metrics.collect()] == [(5, 1)]
+    assert metrics._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
