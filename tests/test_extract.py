@@ -193,6 +193,7 @@ def test_code_metrics_look_for_blocks_of_functions_only(spark, tmp_path):
 
     orders = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
     spark.createDataFrame([(1, 2, "O", 3.5, "1-URGENT")], orders).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
     metrics = entry.queries()["source_code_metrics"](spark, str(tmp_path))
     assert [tuple(r)[0::3] for r in metrics.collect()] == [(5, 1)]
     assert metrics._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
