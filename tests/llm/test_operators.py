@@ -478,6 +478,43 @@ def test_fuzzy_lines_recall(spark):
     assert dropped.count([1]) >= 0.9 * len(alike) and dropped[len(alike) :] == [[]] * len(other)
 
 
+def test_all_blocks_of_long_lines_are_compared(spark):
+    dice = random.Random(8)
+
+    def block(word, blocks=24):
+        return xxhash.xxh64_intdigest(word, 42) % blocks if xxhash.xxh64_intdigest(word, 42) < 1 << 63 else (xxhash.xxh64_intdigest(word, 42) - (1 << 64)) % blocks
+
+    pairs = []
+    for _ in range(8):
+        parts = list({"".join(dice.choices("abcdefghij", k=8)) for _ in range(110)})[:100]
+        other = list(parts)
+        for at, word in enumerate(parts):
+            if block(word) < 6:  # one character of it, so that it stays in the first six blocks
+                other[at] = next(w for w in (word[:4] + x + y + word[6:] for x in "klmnopqrst" for y in "klmnopqrst") if block(w) < 6)
+        pairs.append((" ".join(parts), " ".join(other)))
+    assert all(distance(*p) <= int(len(p[0]) * 0.1) for p in pairs)
+    old = [set(k for k in line_keys(a)) & set(line_keys(b)) for a, b in pairs]
+    assert sum(map(bool, old)) < 4  # of the first six blocks hardly any is alike
+    found = lines.decisions(docs(spark, ["\n".join(p) for p in pairs])).collect()
+    assert [r["dropped"] for r in found] == [[1]] * len(pairs)
+
+
+def test_edit_similarity_by_parts(spark):
+    dice = random.Random(5)
+    rows = []
+    for n in range(300):
+        a = "".join(dice.choices("abcé ", k=dice.randrange(1, 120)))
+        b = list(a)
+        for _ in range(dice.randrange(1, 14)):
+            at = dice.randrange(len(b) + 1)
+            b[at : at + dice.randrange(3)] = dice.choices("abcé ", k=dice.randrange(2))
+        if "".join(b) != a:
+            rows.append((a, "".join(b), dice.randrange(12)))
+    table = spark.createDataFrame(rows, "a string, b string, most int").repartition(4)
+    got = table.select("*", lines._alike(F.col("a"), F.col("b"), F.col("most")).alias("alike")).collect()
+    assert len({r["alike"] for r in got}) == 2 and all(r["alike"] == (distance(r["a"], r["b"]) <= r["most"]) for r in got)
+
+
 def test_lines_that_share_a_phrase(spark):
     dice = random.Random(4)
     phrase = words(dice, 12)
