@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
-from codequarry.functions.ranking import top_n
+from codequarry.functions.ranking import positions, top_n
 from codequarry.operators import search
 from codequarry.operators.edges import repo_of
 from codequarry.session import materialize, shuffled
@@ -41,10 +41,12 @@ def discover(functions: DataFrame, called: DataFrame, name_terms: list[str], nam
     return flagged.where(context | F.col("__calls").isNotNull()).drop("__calls").orderBy("name", "id")
 
 
+CARD = ["file_path", "line_start", "id", "name", "github_url", "docstring"]
+
+
 def _best(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """The first candidate per key by path, line and id, as one struct column ``best``."""
-    row = F.struct("file_path", "line_start", "id", "name", "github_url", "docstring")
-    return candidates.groupBy(*by).agg(F.min(row).alias("best"))
+    """The first candidate per key by path, line and id, as the number ``best`` of its card."""
+    return candidates.groupBy(*by).agg(F.min("at").alias("best"))
 
 
 def go_to_definition(requests: DataFrame, functions: DataFrame, files: DataFrame, membership: DataFrame, imports: DataFrame, targets: DataFrame) -> DataFrame:
@@ -52,46 +54,50 @@ def go_to_definition(requests: DataFrame, functions: DataFrame, files: DataFrame
 
     ``requests(request_id[, repo_id], caller_file, caller_function, function_name)``;
     the caller's file must exist; with ``repo_id`` in all tables nothing beyond the caller's repository is found.  Each scope offers one best function per key,
-    so a request meets at most one row per scope (and class of the caller).
+    so a request meets at most one row per scope (and class of the caller).  Definitions are numbered in the order in which
+    they are preferred, and all scopes know them by their number: what is shown of one is joined to the request at the end.
     """
     repo = repo_of(requests, functions, files, imports, targets)
     asked = requests.join(shuffled(files.select(*repo, F.col("path").alias("caller_file"))), [*repo, "caller_file"], "left_semi")
-    card = functions.select(*repo, "id", "name", "file_path", "line_start", "github_url", "docstring")
+    cards = materialize(positions(functions.select(*repo, *CARD).distinct(), [], [*CARD, *repo], "at"), "cards")
+    card = cards.select(*repo, "id", "name", "file_path", "at")
     local = _best(card.withColumn("caller_file", F.col("file_path")), [*repo, "caller_file", "name"])
     # the best target per module, then per file importing from it
     meant = _best(targets.select("module", "item", "id").join(shuffled(card), "id").where(F.col("name") == F.col("item")), [*repo, "module", "item"])
-    through = imports.select(*repo, F.col("file_path").alias("caller_file"), "module", "item").distinct().join(shuffled(meant), [*repo, "module", "item"])
+    through = imports.select(*repo, F.col("file_path").alias("caller_file"), "module", "item").join(shuffled(meant), [*repo, "module", "item"])
     through = through.groupBy(*repo, "caller_file", F.col("item").alias("name")).agg(F.min("best").alias("best"))
     held = shuffled(membership.select(F.col("function_id").alias("id"), "class_id"))
     methods = _best(card.join(held, "id"), ["class_id", "name"])
     anywhere = _best(card, [*repo, "name"])
 
-    wanted = asked.withColumnRenamed("function_name", "name")
+    here, triple = [*repo, "caller_file", "name"], [*repo, "caller_file", "caller_function", "name"]
+    near = (
+        asked.withColumnRenamed("function_name", "name").join(shuffled(local.withColumnRenamed("best", "b1")), here, "left")
+        .join(shuffled(through.withColumnRenamed("best", "b2")), here, "left")
+    )
+    # requests that these answer go no further, so only the rest keep what is searched with
+    at = F.coalesce("b1", "b2").alias("at")
+    kind = F.when(F.col("b1").isNotNull(), "local").when(F.col("b2").isNotNull(), "imported").alias("resolution_type")
+    near = materialize(near.select("request_id", at, kind, *[F.when(F.coalesce("b1", "b2").isNull(), F.col(c)).alias(c) for c in triple]), "near")
+    wanted = near.where("at IS NULL").select("request_id", *triple)
     homes = card.join(held, "id").select(
         *repo, F.col("file_path").alias("caller_file"), F.col("name").alias("caller_function"), "class_id"
     ).distinct()
     # each distinct (file, caller name, called name) meets the caller's classes once
-    triple = [*repo, "caller_file", "caller_function", "name"]
     reachable = (
         wanted.select(*triple).distinct().join(shuffled(homes), [*repo, "caller_file", "caller_function"])
         .join(shuffled(methods), ["class_id", "name"]).groupBy(*triple).agg(F.min("best").alias("best"))
     )
-    here = [*repo, "caller_file", "name"]
-    found = (
-        wanted.join(shuffled(local.withColumnRenamed("best", "b1")), here, "left")
-        .join(shuffled(through.withColumnRenamed("best", "b2")), here, "left")
-        .join(shuffled(reachable.withColumnRenamed("best", "b3")), triple, "left")
+    far = (
+        wanted.join(shuffled(reachable.withColumnRenamed("best", "b3")), triple, "left")
         .join(shuffled(anywhere.withColumnRenamed("best", "b4")), [*repo, "name"], "left")
     )
-    best = F.coalesce("b1", "b2", "b3", "b4")
-    kind = (
-        F.when(F.col("b1").isNotNull(), "local").when(F.col("b2").isNotNull(), "imported")
-        .when(F.col("b3").isNotNull(), "method").otherwise("global")
-    )
-    return found.where(best.isNotNull()).select(
-        "request_id", best["name"].alias("function_name"), best["file_path"].alias("file_path"),
-        best["line_start"].alias("line_number"), best["github_url"].alias("github_link"),
-        best["docstring"].alias("documentation"), kind.alias("resolution_type"),
+    kind = F.when(F.col("b3").isNotNull(), "method").otherwise("global")
+    far = far.select("request_id", F.coalesce("b3", "b4").alias("at"), kind.alias("resolution_type"))
+    found = near.select(far.columns).union(far).where("at IS NOT NULL")
+    return found.join(shuffled(cards.select("at", *CARD)), "at").select(
+        "request_id", F.col("name").alias("function_name"), "file_path", F.col("line_start").alias("line_number"),
+        F.col("github_url").alias("github_link"), F.col("docstring").alias("documentation"), "resolution_type",
     )
 
 

@@ -206,6 +206,25 @@ def test_go_to_definition_tiers(spark, rows):
     assert got == [(1, "url a1", "local"), (2, "url b1", "imported"), (3, "url c1", "method"), (4, "url c1", "global")]
 
 
+def test_definitions_are_shown_by_number(spark, rows):
+    """Scopes carry numbers of definitions, not what is shown of them; equal rows, repeated ids and NULLs stay apart."""
+    fs = spark.createDataFrame([
+        ("x", "f", "b.py", 2, "u2", "second"), ("x", "f", "b.py", 2, "u1", None), ("x", "f", "b.py", 2, "u1", None), ("y", "f", "a.py", None, None, "first"),
+        ("z", "g", "c.py", 1, "u3", "own")], "id string, name string, file_path string, line_start int, github_url string, docstring string")
+    files = fs.select(F.col("file_path").alias("path")).distinct()
+    membership = spark.createDataFrame([("x", "K"), ("z", "K")], "function_id string, class_id string")
+    imports = spark.createDataFrame([("a.py", "m", "g"), ("a.py", "m", "g")], "file_path string, module string, item string")
+    targets = spark.createDataFrame([("m", "g", "z")], "module string, item string, id string")
+    requests = spark.createDataFrame([
+        (1, "b.py", None, "f"), (2, "c.py", "g", "f"), (2, "c.py", "g", "f"), (3, "c.py", None, "f"), (4, "a.py", "f", "g"), (None, "b.py", "f", "g")],
+        "request_id int, caller_file string, caller_function string, function_name string")
+    found = graph.go_to_definition(requests, fs, files, membership, imports, targets)
+    assert rows(found, "request_id", "file_path", "line_number", "github_link", "documentation", "resolution_type") == sorted([
+        (1, "b.py", 2, "u1", None, "local"), (2, "b.py", 2, "u1", None, "method"), (2, "b.py", 2, "u1", None, "method"),
+        (3, "a.py", None, None, "first", "global"), (4, "c.py", 1, "u3", "own", "imported"), (None, "c.py", 1, "u3", "own", "method")], key=repr)
+    assert "struct(" not in _plan(found)
+
+
 def test_class_hierarchy_trails_in_a_cycle(spark, rows):
     classes = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id int, name string")
     inherits = spark.createDataFrame([(1, 2), (2, 1), (3, 2)], "src int, dst int")
